@@ -6,6 +6,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from kgspark.llm.mixing import mix
+from kgspark.llm.near_duplicates import NearDuplicateSpec, near_duplicate_groups
 from kgspark.llm.survivorship import survivors
 
 
@@ -13,6 +14,22 @@ def _read(spark: SparkSession, sf: str, table: str) -> DataFrame:
     return spark.read.parquet(f"{sf}/{table}.parquet")
 
 
+_P3 = NearDuplicateSpec(words=3, threshold=0.5)
+
+
+def p3_groups(spark: SparkSession, sf: str) -> DataFrame:
+    """Each chunk that is like another one, with its group and number of links."""
+    texts = _read(spark, sf, "kv_chunks").select(F.col("row_id").alias("node"), F.col("id").alias("text_id"), F.col("content").alias("text"))
+    return near_duplicate_groups(texts, _P3)
+
+
+def p3_found(spark: SparkSession, sf: str) -> DataFrame:
+    """Pairs of different chunk ids in one group of edited copies."""
+    g = p3_groups(spark, sf).where(F.col("text_id").isNotNull()).select("group_id", "text_id").distinct()
+    a, b = g.withColumnRenamed("text_id", "chunk_a"), g.withColumnRenamed("text_id", "chunk_b")
+    return a.join(b, "group_id").where("chunk_a < chunk_b").select("chunk_a", "chunk_b").distinct()
+
+
 def _p4_rows(spark: SparkSession, sf: str) -> DataFrame:
     entities = _read(spark, sf, "entity_rows").select(
         F.lit("entity").alias("record_kind"), "id", "row_id", "description", F.col("source_chunk_id").alias("chunks"), "trust_level", "updated_at"
@@ -74,6 +91,8 @@ def p9_mix(spark: SparkSession, sf: str) -> DataFrame:
 
 
 QUERIES = {
+    "p3_found": p3_found,
+    "p3_groups": p3_groups,
     "p4_found": p4_found,
     "p4_records": p4_records,
     "p9_found": p9_found,
