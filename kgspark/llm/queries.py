@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 
 from kgspark.llm.mixing import mix
 from kgspark.llm.near_duplicates import NearDuplicateSpec, near_duplicate_groups
+from kgspark.llm.splitting import split_oversized
 from kgspark.llm.survivorship import survivors
 
 
@@ -14,6 +15,16 @@ def _read(spark: SparkSession, sf: str, table: str) -> DataFrame:
     return spark.read.parquet(f"{sf}/{table}.parquet")
 
 
+def p2_pieces(spark: SparkSession, sf: str) -> DataFrame:
+    """Numbered pieces of every chunk of more than 200 words."""
+    return split_oversized(_read(spark, sf, "kv_chunks"))
+
+
+def p2_found(spark: SparkSession, sf: str) -> DataFrame:
+    """Chunks of more than 200 words, and whether they had to be cut inside a sentence."""
+    return p2_pieces(spark, sf).where("chunk_order_idx = 0").select("row_id", "cut_kind").distinct()
+
+
 _P3 = NearDuplicateSpec(words=3, threshold=0.5)
 
 
@@ -91,6 +102,8 @@ def p9_mix(spark: SparkSession, sf: str) -> DataFrame:
 
 
 QUERIES = {
+    "p2_found": p2_found,
+    "p2_pieces": p2_pieces,
     "p3_found": p3_found,
     "p3_groups": p3_groups,
     "p4_found": p4_found,
