@@ -2,11 +2,12 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from kgspark.llm.mixing import mix
 from kgspark.llm.near_duplicates import NearDuplicateSpec, near_duplicate_groups
+from kgspark.llm.neighbours import nearest
 from kgspark.llm.splitting import split_oversized
 from kgspark.llm.survivorship import survivors
 
@@ -85,6 +86,22 @@ WITH r AS (
 """
 
 
+def _p6_lists(spark: SparkSession, sf: str, least: float | None) -> DataFrame:
+    points = _read(spark, sf, "points").select("id", F.col("dense_embedding").alias("vector"))
+    return nearest(points, k=5, min_similarity=least)
+
+
+def p6_found(spark: SparkSession, sf: str) -> DataFrame:
+    """Pairs in which one vector is among the other's 5 most similar, all of 0.85 or more."""
+    full = _p6_lists(spark, sf, 0.85).withColumn("n", F.count(F.lit(1)).over(Window.partitionBy("id"))).where("n = 5")
+    return full.select(F.least("id", "neighbour").alias("point_a"), F.greatest("id", "neighbour").alias("point_b")).distinct()
+
+
+def p6_neighbours(spark: SparkSession, sf: str) -> DataFrame:
+    """The 5 most similar vectors of every usable vector, however far."""
+    return _p6_lists(spark, sf, None).select("id", "neighbour", F.round("similarity", 4).alias("similarity"), "place")
+
+
 def p9_found(spark: SparkSession, sf: str) -> DataFrame:
     """Sources whose target share the mix cannot reach within its repeats."""
     _, report = mix(_read(spark, sf, "documents"), _read(spark, sf, "mix_targets"))
@@ -108,6 +125,8 @@ QUERIES = {
     "p3_groups": p3_groups,
     "p4_found": p4_found,
     "p4_records": p4_records,
+    "p6_found": p6_found,
+    "p6_neighbours": p6_neighbours,
     "p9_found": p9_found,
     "p9_shares": p9_shares,
     "p9_mix": p9_mix,

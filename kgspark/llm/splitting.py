@@ -130,6 +130,8 @@ def _splitter(limit: int, overlap: int):
         for b in batches:
             at, index, piece, size, kind = [], [], [], [], []
             for i, text in enumerate(b.column("content").to_pylist()):
+                if len(text.split()) <= limit:
+                    continue
                 pieces, cut_kind = split_text(text, limit, overlap)
                 if len(pieces) < 2:
                     continue
