@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
+from kgspark.llm.leakage import leaked_items
 from kgspark.llm.mixing import mix
 from kgspark.llm.near_duplicates import NearDuplicateSpec, near_duplicate_groups
 from kgspark.llm.neighbours import nearest
@@ -102,6 +103,17 @@ def p6_neighbours(spark: SparkSession, sf: str) -> DataFrame:
     return _p6_lists(spark, sf, None).select("id", "neighbour", F.round("similarity", 4).alias("similarity"), "place")
 
 
+def p8_found(spark: SparkSession, sf: str) -> DataFrame:
+    """Documents and the test items that leaked into them."""
+    return leaked_items(_read(spark, sf, "documents"), _read(spark, sf, "eval_items")).select("doc_id", "item_id")
+
+
+def p8_items(spark: SparkSession, sf: str) -> DataFrame:
+    """Each leaked test item and the number of documents that hold some of it."""
+    found = leaked_items(_read(spark, sf, "documents"), _read(spark, sf, "eval_items"))
+    return found.groupBy("item_id").agg(F.count(F.lit(1)).alias("n_documents"), F.max("n_windows").alias("most_windows"))
+
+
 def p9_found(spark: SparkSession, sf: str) -> DataFrame:
     """Sources whose target share the mix cannot reach within its repeats."""
     _, report = mix(_read(spark, sf, "documents"), _read(spark, sf, "mix_targets"))
@@ -127,6 +139,8 @@ QUERIES = {
     "p4_records": p4_records,
     "p6_found": p6_found,
     "p6_neighbours": p6_neighbours,
+    "p8_found": p8_found,
+    "p8_items": p8_items,
     "p9_found": p9_found,
     "p9_shares": p9_shares,
     "p9_mix": p9_mix,
