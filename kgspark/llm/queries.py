@@ -9,6 +9,7 @@ from kgspark.llm.leakage import leaked_items
 from kgspark.llm.mixing import mix
 from kgspark.llm.near_duplicates import NearDuplicateSpec, near_duplicate_groups
 from kgspark.llm.neighbours import nearest
+from kgspark.llm.sentences import sentences
 from kgspark.llm.splitting import split_oversized
 from kgspark.llm.survivorship import survivors
 
@@ -130,6 +131,11 @@ def p9_mix(spark: SparkSession, sf: str) -> DataFrame:
     return mix(_read(spark, sf, "documents"), _read(spark, sf, "mix_targets"))[0]
 
 
+def p10_found(spark: SparkSession, sf: str) -> DataFrame:
+    """Every document as its sentences, headings and list lines."""
+    return sentences(_read(spark, sf, "documents")).distinct()
+
+
 QUERIES = {
     "p2_found": p2_found,
     "p2_pieces": p2_pieces,
@@ -144,6 +150,7 @@ QUERIES = {
     "p9_found": p9_found,
     "p9_shares": p9_shares,
     "p9_mix": p9_mix,
+    "p10_found": p10_found,
 }
 SQL = {
     "p4_found": _P4_SQL + "SELECT record_kind, id, field_name, row_id FROM best WHERE k = 1",
