@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
+from kgspark.llm.canonical import map_to_list
 from kgspark.llm.leakage import leaked_items
 from kgspark.llm.mixing import mix
 from kgspark.llm.near_duplicates import NearDuplicateSpec, near_duplicate_groups
@@ -18,6 +19,28 @@ def _read(spark: SparkSession, sf: str, table: str) -> DataFrame:
     return spark.read.parquet(f"{sf}/{table}.parquet")
 
 
+def _p1_mapped(spark: SparkSession, sf: str) -> DataFrame:
+    def one(table: str, column: str, reference: str) -> DataFrame:
+        rows = _read(spark, sf, table).select(F.col("mention_id").alias("row_id"), F.col(column).alias("value"))
+        return map_to_list(rows, _read(spark, sf, reference)).withColumn("table_name", F.lit(table))
+
+    return one("entity_model", "entity_type", "entity_type_list").unionByName(one("relation_model", "relation_type", "relation_type_list"))
+
+
+def p1_found(spark: SparkSession, sf: str) -> DataFrame:
+    """Typed values that are no name of their list, and the name each stands for."""
+    mapped = _p1_mapped(spark, sf).where("value <> canonical_name")
+    return mapped.select("table_name", F.col("row_id").alias("mention_id"), "canonical_name").distinct()
+
+
+def p1_report(spark: SparkSession, sf: str) -> DataFrame:
+    """Rows and different spellings for each name, and the unmatched values."""
+    shown = F.when(F.col("canonical_name") == "UNMATCHED", F.col("value"))
+    return _p1_mapped(spark, sf).groupBy("table_name", "canonical_name", shown.alias("unmatched_value")).agg(
+        F.count(F.lit(1)).alias("n_rows"), F.countDistinct("value").alias("n_spellings")
+    )
+
+
 def p2_pieces(spark: SparkSession, sf: str) -> DataFrame:
     """Numbered pieces of every chunk of more than 200 words."""
     return split_oversized(_read(spark, sf, "kv_chunks"))
@@ -137,6 +160,8 @@ def p10_found(spark: SparkSession, sf: str) -> DataFrame:
 
 
 QUERIES = {
+    "p1_found": p1_found,
+    "p1_report": p1_report,
     "p2_found": p2_found,
     "p2_pieces": p2_pieces,
     "p3_found": p3_found,
