@@ -8,6 +8,7 @@ from pyspark.sql import functions as F
 from kgspark.llm.canonical import map_to_list
 from kgspark.llm.leakage import leaked_items
 from kgspark.llm.mixing import mix
+from kgspark.llm.name_variants import name_variants
 from kgspark.llm.near_duplicates import NearDuplicateSpec, near_duplicate_groups
 from kgspark.llm.neighbours import nearest
 from kgspark.llm.sentences import sentences
@@ -127,6 +128,19 @@ def p6_neighbours(spark: SparkSession, sf: str) -> DataFrame:
     return _p6_lists(spark, sf, None).select("id", "neighbour", F.round("similarity", 4).alias("similarity"), "place")
 
 
+def p7_entities(spark: SparkSession, sf: str) -> DataFrame:
+    """Each name of a person or organisation and the entity it stands for."""
+    names = _read(spark, sf, "entity_rows").select(F.col("entity_name").alias("name"))
+    return name_variants(names.unionByName(_read(spark, sf, "entity_model").select(F.col("entity_name").alias("name"))))
+
+
+def p7_found(spark: SparkSession, sf: str) -> DataFrame:
+    """Pairs of spellings of one person or organisation."""
+    e = p7_entities(spark, sf)
+    a, b = e.withColumnRenamed("name", "name_a"), e.withColumnRenamed("name", "name_b")
+    return a.join(b, "entity").where("name_a < name_b").select("name_a", "name_b")
+
+
 def p8_found(spark: SparkSession, sf: str) -> DataFrame:
     """Documents and the test items that leaked into them."""
     return leaked_items(_read(spark, sf, "documents"), _read(spark, sf, "eval_items")).select("doc_id", "item_id")
@@ -170,6 +184,8 @@ QUERIES = {
     "p4_records": p4_records,
     "p6_found": p6_found,
     "p6_neighbours": p6_neighbours,
+    "p7_found": p7_found,
+    "p7_entities": p7_entities,
     "p8_found": p8_found,
     "p8_items": p8_items,
     "p9_found": p9_found,
