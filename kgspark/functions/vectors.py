@@ -8,6 +8,7 @@ import numpy as np
 import pandas as pd
 from pyspark.sql import Column
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 
 def as_double(v: Column) -> Column:
@@ -48,12 +49,12 @@ def rrf(rank: Column, k: int = 60) -> Column:
     return 1.0 / (F.lit(k) + rank)
 
 
-@F.pandas_udf("string")
+@F.pandas_udf(T.StringType())
 def encode_float32(v: pd.Series) -> pd.Series:
     """Base64 of the little-endian float32 values."""
     return v.map(lambda x: None if x is None else base64.b64encode(np.asarray(x, "<f4").tobytes()).decode())
 
 
-@F.pandas_udf("array<float>")
+@F.pandas_udf(T.ArrayType(T.FloatType()))
 def decode_float32(text: pd.Series) -> pd.Series:
     return text.map(lambda x: None if x is None else np.frombuffer(base64.b64decode(x), "<f4"))

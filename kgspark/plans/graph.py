@@ -105,11 +105,11 @@ def _(spark, sf):
     return lookup.repeated_ids(t.read(spark, sf, "entity_rows"))
 
 
-@_query("flt15_obsolete_entities", WITH + """, gone AS (SELECT DISTINCT doc_id FROM kv_chunks WHERE lang <> 'en')
+@_query("flt15_obsolete_entities", WITH + """, gone AS (SELECT DISTINCT doc_id FROM kv_chunks WHERE lang = 'en')
 SELECT id FROM nodes WHERE len(list_filter(documents_id, lambda d: d IS NOT NULL)) > 0 AND id NOT IN (
   SELECT id FROM (SELECT id, unnest(documents_id) AS d FROM nodes) WHERE d NOT IN (SELECT doc_id FROM gone WHERE doc_id IS NOT NULL))""")
 def _(spark, sf):
-    gone = t.read(spark, sf, "kv_chunks").where("lang <> 'en'").select("doc_id").distinct()
+    gone = t.read(spark, sf, "kv_chunks").where("lang = 'en'").select("doc_id").distinct()
     return lookup.obsolete_entities(t.nodes(spark, sf), gone).select("id")
 
 
