@@ -20,6 +20,8 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from kgspark.batches import slices
+
 #: Words that count as a passage, and words of a shingle; the same in characters for Japanese.
 WORDS, WORD_SHINGLE = 10, 5
 CHARS, CHAR_SHINGLE = 25, 13
@@ -135,8 +137,7 @@ def _searcher(items: list[tuple[int, str]]):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         words, chars = build_indexes(items)
         for whole in batches:
-            for start in range(0, whole.num_rows, 2_000):
-                b = whole.slice(start, 2_000)
+            for b in slices(whole, "text"):
                 texts = b.column("text").to_pylist()
                 units = [_RUN.findall(plain(t)) for t in texts]
                 rows = list(words.search(units))

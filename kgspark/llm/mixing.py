@@ -32,25 +32,33 @@ def _meet(rng: random.Random, a: float, size_a: int, b: float, size_b: int) -> t
     return a + move / size_a, b - move / size_b
 
 
-def _settle(rows, seed: int) -> tuple[list[tuple], list[tuple]]:
-    """Rows as decided (p is 0 or 1), and at most one open row a source."""
-    done, held = [], {}
-    rng = random.Random(seed)
-    for source, key, size, base, p in rows:
-        if size <= 0 or p <= _EPS or p >= 1 - _EPS:
-            done.append((source, key, size, base, float(round(p)) if size > 0 else 0.0))
-            continue
-        if source not in held:
-            held[source] = (source, key, size, base, p)
-            continue
-        _, key0, size0, base0, p0 = held.pop(source)
-        p0, p = _meet(rng, p0, size0, p, size)
-        for k, s, b, x in ((key0, size0, base0, p0), (key, size, base, p)):
-            if x <= _EPS or x >= 1 - _EPS:
-                done.append((source, k, s, b, float(round(x))))
-            else:
-                held[source] = (source, k, s, b, x)
-    return done, list(held.values())
+class _Settler:
+    """Meets rows one after the other; holds at most one open row a source."""
+
+    def __init__(self, seed: int) -> None:
+        self.rng, self.held = random.Random(seed), {}
+
+    def add(self, rows) -> list[tuple]:
+        """Rows that are decided now: p is 0 or 1."""
+        done = []
+        for source, key, size, base, p in rows:
+            if size <= 0 or p <= _EPS or p >= 1 - _EPS:
+                done.append((source, key, size, base, float(round(p)) if size > 0 else 0.0))
+                continue
+            if source not in self.held:
+                self.held[source] = (source, key, size, base, p)
+                continue
+            _, key0, size0, base0, p0 = self.held.pop(source)
+            p0, p = _meet(self.rng, p0, size0, p, size)
+            for k, s, b, x in ((key0, size0, base0, p0), (key, size, base, p)):
+                if x <= _EPS or x >= 1 - _EPS:
+                    done.append((source, k, s, b, float(round(x))))
+                else:
+                    self.held[source] = (source, k, s, b, x)
+        return done
+
+    def open(self) -> list[tuple]:
+        return list(self.held.values())
 
 
 def _table(done: list[tuple], still: list[tuple]) -> pa.Table:
@@ -106,12 +114,14 @@ def mix(documents: DataFrame, targets: DataFrame, seed: int = 13, fan_in: int =
     )
 
     def first(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        done, still = _settle((r for b in batches for r in _rows(b)), seed)
-        yield from _table(done, still).to_batches()
+        settler = _Settler(seed)
+        for b in batches:
+            yield from _table(settler.add(_rows(b)), []).to_batches()
+        yield from _table([], settler.open()).to_batches()
 
     def later(_key, table: pa.Table) -> pa.Table:
-        done, still = _settle(sorted(_rows(table)), seed)
-        return _table(done, still)
+        settler = _Settler(seed)
+        return _table(settler.add(sorted(_rows(table))), settler.open())
 
     step = cut(units.sortWithinPartitions("source", "text_key").mapInArrow(first, _DECIDED))
     decided = step.where("NOT open")

@@ -22,11 +22,14 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from kgspark.batches import slices
 from kgspark.operators.components import connected_components
 from kgspark.storage import cut
 
 _WORD = re.compile(r"[^\W_]+")
 _CACHE_WORDS = 500_000
+#: Members of a shard that one tree holds; larger shards are cut into blocks, each searched in the trees of all.
+SHARD_MEMBERS = 20_000
 
 
 @dataclass(frozen=True)
@@ -102,7 +105,7 @@ def _sketch(spec: NearDuplicateSpec):
 
     def sketch(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         cache = _Words()
-        for b in batches:
+        for b in (part for whole in batches for part in slices(whole, "text")):
             runs, starts, usable = _batch_shingles(b.column("text").to_pylist(), spec.words, cache)
             if not len(usable):
                 continue
@@ -130,13 +133,13 @@ def _sketch(spec: NearDuplicateSpec):
     return sketch
 
 
-def _tree_pairs(prints: np.ndarray, members: np.ndarray, radius: int) -> Iterator[tuple[np.ndarray, np.ndarray]]:
-    """Pairs of members within the radius, from a BK-tree built and searched at once.
+def _tree_pairs(prints: np.ndarray, members: np.ndarray, radius: int, tree_members: np.ndarray | None = None) -> Iterator[tuple[np.ndarray, np.ndarray]]:
+    """Pairs of members within the radius, from a BK-tree over them (or ``tree_members``) built and searched at once.
 
     Work items are (searching members, subtree members); the subtree's first member
     is its root, the others hang below it by their distance to the root.
     """
-    work = [(members, members)]
+    work = [(members, members if tree_members is None else tree_members)]
     while work:
         searching, tree = work.pop()
         root = tree[0]
@@ -157,33 +160,83 @@ def _tree_pairs(prints: np.ndarray, members: np.ndarray, radius: int) -> Iterato
                 work.append((follow, child))
 
 
-def _shard_pairs(spec: NearDuplicateSpec):
-    def pairs(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        got = [b for b in batches if b.num_rows]
-        if not got:
-            return
-        t = pa.Table.from_batches(got)
-        shard = t["shard"].to_numpy()
-        node = t["node"].to_numpy()
+def _links(pairs: list[tuple[np.ndarray, np.ndarray]], node: np.ndarray) -> np.ndarray:
+    """Distinct pairs of different nodes, the smaller first."""
+    if not pairs:
+        return np.zeros((0, 2), np.int64)
+    x, y = (node[np.concatenate(c)] for c in zip(*pairs))
+    found = np.unique(np.stack([np.minimum(x, y), np.maximum(x, y)], axis=1), axis=0)
+    return found[found[:, 0] != found[:, 1]]
+
+
+def _shard_pairs(spec: NearDuplicateSpec, most: int):
+    """Pairs of rows that come in order of their shard; a shard of more than ``most`` rows only gives (null, shard)."""
+
+    def whole_shards(t: pa.Table) -> np.ndarray:
+        shard, node = t["shard"].to_numpy(), t["node"].to_numpy()
         prints = np.frombuffer(b"".join(t["fingerprint"].to_pylist()), dtype=np.uint8).reshape(-1, spec.positions)
-        order = np.argsort(shard, kind="stable")
-        _, at, size = np.unique(shard[order], return_index=True, return_counts=True)
+        at = np.flatnonzero(np.r_[True, shard[1:] != shard[:-1]])
+        size = np.diff(np.r_[at, len(shard)])
         two = at[size == 2]
-        left, right = [order[two]], [order[two + 1]]
-        d = np.count_nonzero(prints[left[0]] != prints[right[0]], axis=1)
-        left[0], right[0] = left[0][d <= spec.radius], right[0][d <= spec.radius]
+        near = np.count_nonzero(prints[two] != prints[two + 1], axis=1) <= spec.radius
+        pairs = [(two[near], two[near] + 1)]
         for a, n in zip(at[size > 2], size[size > 2]):
-            for x, y in _tree_pairs(prints, order[a : a + n], spec.radius):
-                left.append(x)
-                right.append(y)
-        x, y = node[np.concatenate(left)], node[np.concatenate(right)]
-        found = np.unique(np.stack([np.minimum(x, y), np.maximum(x, y)], axis=1), axis=0)
-        found = found[found[:, 0] != found[:, 1]]
-        for i in range(0, len(found), 50_000):
-            part = found[i : i + 50_000]
-            yield pa.RecordBatch.from_arrays([pa.array(part[:, 0].copy()), pa.array(part[:, 1].copy())], names=["a", "b"])
+            members = np.arange(a, a + n)
+            pairs += _tree_pairs(prints, members, spec.radius)
+        return _links(pairs, node)
 
-    return pairs
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        kept: pa.Table | None = None  # rows of the last shard so far
+        large = None
+
+        def give(t: pa.Table) -> Iterator[pa.RecordBatch]:
+            found = whole_shards(t)
+            for i in range(0, len(found), 50_000):
+                part = found[i : i + 50_000]
+                yield pa.RecordBatch.from_arrays([pa.array(part[:, 0].copy()), pa.array(part[:, 1].copy())], names=["a", "b"])
+
+        for b in batches:
+            t = pa.Table.from_batches([b])
+            if large is not None:
+                t = t.filter(pa.array(t["shard"].to_numpy() != large))
+            if not t.num_rows:
+                continue
+            large = None
+            t = t if kept is None else pa.concat_tables([kept, t])
+            shard = t["shard"].to_numpy()
+            begins = int(np.searchsorted(shard, shard[-1]))
+            if begins:
+                yield from give(t.slice(0, begins))
+            kept = t.slice(begins)
+            if kept.num_rows > most:
+                large, kept = shard[-1], None
+                yield pa.RecordBatch.from_arrays([pa.array([None], pa.int64()), pa.array([large], pa.int64())], names=["a", "b"])
+        if kept is not None and kept.num_rows:
+            yield from give(kept)
+
+    return run
+
+
+def _block_pairs(spec: NearDuplicateSpec):
+    def run(_key, t: pa.Table) -> pa.Table:
+        node, block = t["node"].to_numpy(), t["block"].to_numpy()
+        prints = np.frombuffer(b"".join(t["fingerprint"].to_pylist()), dtype=np.uint8).reshape(-1, spec.positions)
+        i, j = t["i"][0].as_py(), t["j"][0].as_py()
+        searching, tree = np.flatnonzero(block == i), np.flatnonzero(block == j)
+        found = _links(list(_tree_pairs(prints, searching, spec.radius, tree)) if len(searching) and len(tree) else [], node)
+        return pa.table({"a": found[:, 0].copy(), "b": found[:, 1].copy()})
+
+    return run
+
+
+def _large_shards(sharded: DataFrame, large: DataFrame, spec: NearDuplicateSpec, most: int) -> DataFrame:
+    """Pairs inside shards of more than ``most`` members, block against block."""
+    rows = sharded.join(large, "shard")
+    blocks = rows.groupBy("shard").agg(F.ceil(F.count(F.lit(1)) / most).cast("int").alias("blocks"))
+    rows = rows.join(blocks, "shard").withColumn("block", F.pmod(F.xxhash64("node"), F.col("blocks")).cast("int"))
+    pair = lambda o: F.struct(F.least(F.col("block"), o).alias("i"), F.greatest(F.col("block"), o).alias("j"))
+    rows = rows.withColumn("p", F.explode(F.transform(F.sequence(F.lit(0), F.col("blocks") - 1), pair))).select("shard", "p.i", "p.j", "block", "node", "fingerprint")
+    return rows.groupBy("shard", "i", "j").applyInArrow(_block_pairs(spec), "a bigint, b bigint")
 
 
 def _verify(spec: NearDuplicateSpec):
@@ -192,7 +245,7 @@ def _verify(spec: NearDuplicateSpec):
             w = _WORD.findall((text or "").lower())
             return set(zip(*(w[k:] for k in range(spec.words))))
 
-        for b in batches:
+        for b in (part for whole in batches for part in slices(whole, "text_a", "text_b")):
             a, c = b.column("text_a").to_pylist(), b.column("text_b").to_pylist()
             keep, last, last_runs = [], None, set()
             for i, (x, y) in enumerate(zip(a, c)):
@@ -207,7 +260,7 @@ def _verify(spec: NearDuplicateSpec):
     return verify
 
 
-def near_duplicate_links(texts: DataFrame, spec: NearDuplicateSpec = NearDuplicateSpec()) -> tuple[DataFrame, DataFrame]:
+def near_duplicate_links(texts: DataFrame, spec: NearDuplicateSpec = NearDuplicateSpec(), shard_members: int = SHARD_MEMBERS) -> tuple[DataFrame, DataFrame]:
     """Links between different texts that are alike, and the texts they are between.
 
     ``texts(node, text_id, text)`` with a unique bigint node for each row. Rows that
@@ -222,8 +275,11 @@ def near_duplicate_links(texts: DataFrame, spec: NearDuplicateSpec = NearDuplica
     sketches = rows.mapInArrow(_sketch(spec), "text_id string, text_key bigint, node bigint, fingerprint binary, shards array<bigint>")
     one = cut(sketches.groupBy("text_id", "text_key").agg(F.min("node").alias("node"), F.first("fingerprint").alias("fingerprint"), F.first("shards").alias("shards")))
     sharded = one.select("node", "fingerprint", F.explode("shards").alias("shard"))
-    candidates = sharded.repartition("shard").mapInArrow(_shard_pairs(spec), "a bigint, b bigint")
-    candidates = cut(candidates.distinct())
+    in_order = sharded.repartition("shard").sortWithinPartitions("shard")
+    found = cut(in_order.mapInArrow(_shard_pairs(spec, shard_members), "a bigint, b bigint").distinct())
+    candidates, large = found.where("a IS NOT NULL"), found.where("a IS NULL").select(F.col("b").alias("shard"))
+    if large.limit(1).count():
+        candidates = cut(candidates.unionByName(_large_shards(sharded, large, spec, shard_members)).distinct())
     wanted = candidates.select(F.explode(F.array("a", "b")).alias("node")).distinct()
     content = rows.select("node", "text").join(wanted, "node")
     pairs = (

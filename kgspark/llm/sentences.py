@@ -20,6 +20,8 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from kgspark.batches import slices
+
 _NL = r"(?:\r\n|[\n\r\v\f\x1c-\x1e\x85 ])"
 _BLANK = re.compile(rf"{_NL}(?:(?!{_NL})\s)*{_NL}\s*| \s*")
 _LINE = re.compile(_NL)
@@ -341,8 +343,7 @@ def learn(documents: DataFrame) -> Abbreviations:
 def _splitter(abbreviations: Abbreviations):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for whole in batches:
-            for at in range(0, whole.num_rows, 2_000):
-                b = whole.slice(at, 2_000)
+            for b in slices(whole, "text"):
                 row, start, end = [], [], []
                 for i, text in enumerate(b.column("text").to_pylist()):
                     for x, y in units(text, abbreviations):

@@ -15,6 +15,8 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from kgspark.batches import slices
+
 _WORD = re.compile(r"\S+")
 _END = re.compile(r"[.!?…。！？؟।॥]+[\"'”’»›)\]}」』]*$")
 _OPENING = "\"'“„‚«‹([{¿¡—–-"
@@ -127,7 +129,7 @@ def split_text(text: str, limit: int = 200, overlap: int = 20) -> tuple[list[tup
 
 def _splitter(limit: int, overlap: int):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for b in batches:
+        for b in (part for whole in batches for part in slices(whole, "content")):
             at, index, piece, size, kind = [], [], [], [], []
             for i, text in enumerate(b.column("content").to_pylist()):
                 if len(text.split()) <= limit:
