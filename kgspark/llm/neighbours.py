@@ -84,7 +84,7 @@ def _tile(a: _Block, b: _Block, rows: slice, columns: slice, best: _Best, least:
         inside = (ia >= jb[0]) & (ia <= jb[-1])
         s[np.flatnonzero(inside), ia[inside] - jb[0]] = -np.inf
     limit = (best.bound[ia] - error).astype(np.float32)
-    hit = s >= limit[:, None]
+    hit = (s >= limit[:, None]) & (s > -np.inf)  # a vector is not its own neighbour
     many = np.flatnonzero(np.count_nonzero(hit, axis=1) > 4 * k)
     if len(many) and s.shape[1] > k:
         sure = np.partition(s[many], s.shape[1] - k, axis=1)[:, s.shape[1] - k] - error[many]
