@@ -9,6 +9,7 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
+from pyspark.sql.pandas.types import to_arrow_type
 
 #: Queries whose vectors go to every task at once; more are searched in several passes.
 QUERIES_AT_ONCE = 20_000
@@ -23,29 +24,44 @@ def top_k(scored: DataFrame, k: int, group: str = "query_id", score: str = "scor
     return kept.withColumn("rank", F.row_number().over(order)).where(F.col("rank") <= k)
 
 
-def _search(ids: list, matrix: np.ndarray, k: int, metric: str, least: float | None):
+def _search(ids: list, matrix: np.ndarray, k: int, metric: str, least: float | None, kinds: tuple):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        q = matrix
-        if metric == "cosine":
-            n = np.linalg.norm(q, axis=1, keepdims=True)
-            q = np.divide(q, n, out=np.zeros_like(q), where=n > 0)
+        unit = lambda x: np.divide(x, n := np.linalg.norm(x, axis=1, keepdims=True), out=np.zeros_like(x), where=n > 0) if metric == "cosine" else x
+        q = unit(matrix)
+        fast = q.astype(np.float32)
         for b in batches:
             vid = np.array(b.column("id").to_pylist(), dtype=object)
             if not len(vid):
                 continue
-            v = np.asarray(b.column("vector").flatten().to_numpy(zero_copy_only=False), dtype=np.float64).reshape(len(vid), -1)
-            if metric == "cosine":
-                n = np.linalg.norm(v, axis=1, keepdims=True)
-                v = np.divide(v, n, out=np.zeros_like(v), where=n > 0)
+            v = unit(np.asarray(b.column("vector").flatten().to_numpy(zero_copy_only=False), dtype=np.float64).reshape(len(vid), -1))
+            low = v.astype(np.float32).T
+            # Products in single precision choose what is computed again in double; this bounds their error.
+            slack = 1e-5 * max(1.0, float(np.abs(q).max(initial=0)) * float(np.abs(v).max(initial=0)) * q.shape[1])
             out = []
-            for at in range(0, len(q), 512):
-                s = q[at : at + 512] @ v.T
-                kth = np.partition(s, max(0, s.shape[1] - k), axis=1)[:, max(0, s.shape[1] - k)] if s.shape[1] > k else np.full(len(s), -np.inf)
-                floor = np.maximum(kth, -np.inf if least is None else least)
+            for at in range(0, len(q), 256):
+                s = fast[at : at + 256] @ low
+                width = s.shape[1]
+                if width > 64 * k:  # the best of a row are among the rows' best of 64 stripes
+                    stripes = s[:, : width // 64 * 64].reshape(len(s), 64, -1).max(axis=2)
+                    kth = np.partition(stripes, 64 - min(k, 64), axis=1)[:, 64 - min(k, 64)] if k <= 64 else np.partition(s, width - k, axis=1)[:, width - k]
+                elif width > k:
+                    kth = np.partition(s, width - k, axis=1)[:, width - k]
+                else:
+                    kth = np.full(len(s), -np.inf, np.float32)
+                floor = np.maximum(kth, -np.inf if least is None else least) - 2 * slack
                 r, c = np.nonzero(s >= floor[:, None])
-                out.append((r + at, vid[c], s[r, c]))
-            rows, who, score = (np.concatenate(x) for x in zip(*out))
-            yield pa.RecordBatch.from_arrays([pa.array([ids[i] for i in rows]), pa.array(who.tolist()), pa.array(score)], names=["query_id", "id", "score"])
+                exact = np.einsum("ij,ij->i", q[r + at], v[c])
+                # No more than the k best and their ties leave the batch.
+                order = np.lexsort((-exact, r))
+                r, c, exact = r[order], c[order], exact[order]
+                first = np.searchsorted(r, r)
+                place = np.arange(len(r)) - first
+                last = exact[np.minimum(first + k - 1, len(r) - 1)] if len(r) else exact
+                same = r[np.minimum(first + k - 1, len(r) - 1)] == r if len(r) else r == r
+                keep = (place < k) | (same & (exact >= last))
+                out.append((r[keep] + at, vid[c[keep]], exact[keep]))
+            rows, who, score = (np.concatenate(x) for x in zip(*out)) if out else ([], np.array([]), np.array([]))
+            yield pa.RecordBatch.from_arrays([pa.array([ids[i] for i in rows], kinds[0]), pa.array(who.tolist(), kinds[1]), pa.array(score)], names=["query_id", "id", "score"])
 
     return run
 
@@ -63,12 +79,13 @@ def dense_top_k(queries: DataFrame, points: DataFrame, k: int, dim: int, metric:
     queries = fit(queries)
     passes = max(1, math.ceil(queries.count() / QUERIES_AT_ONCE))
     qtype, ptype = dict(queries.dtypes)["query_id"], dict(points.dtypes)["id"]
+    kinds = (to_arrow_type(queries.schema["query_id"].dataType), to_arrow_type(points.schema["id"].dataType))
     found = None
     for p in range(passes):
         part = queries.where(F.pmod(F.xxhash64("query_id"), F.lit(passes)) == p) if passes > 1 else queries
-        rows = part.select("query_id", "vector").collect()
-        matrix = np.array([r["vector"] for r in rows], dtype=np.float64).reshape(len(rows), dim)
-        one = fit(points).select("id", "vector").mapInArrow(_search([r["query_id"] for r in rows], matrix, k, metric, least), f"query_id {qtype}, id {ptype}, score double")
+        rows = part.select("query_id", "vector").toArrow()
+        matrix = rows["vector"].combine_chunks().flatten().to_numpy(zero_copy_only=False).astype(np.float64).reshape(-1, dim)
+        one = fit(points).select("id", "vector").mapInArrow(_search(rows["query_id"].to_pylist(), matrix, k, metric, least, kinds), f"query_id {qtype}, id {ptype}, score double")
         found = one if found is None else found.unionByName(one)
     return top_k(found, k)
 

@@ -7,11 +7,14 @@ from pyspark.sql import functions as F
 
 from kgspark.functions.text import words
 from kgspark.operators.ranking import top_k
+from kgspark.storage import cut
 
 
-def term_counts(texts: DataFrame, key: str, column: str = "text", stop: list[str] | None = None) -> DataFrame:
-    """``(key, token, tf, length)`` of every text."""
+def term_counts(texts: DataFrame, key: str, column: str = "text", stop: list[str] | None = None, only: DataFrame | None = None) -> DataFrame:
+    """``(key, token, tf, length)`` of every text; ``only(token)`` keeps these tokens, before anything is shuffled."""
     w = texts.select(key, words(F.col(column), stop=stop).alias("w")).select(key, F.size("w").alias("length"), F.explode("w").alias("token"))
+    if only is not None:
+        w = w.join(only.select("token").distinct(), "token", "left_semi")
     return w.groupBy(key, "length", "token").agg(F.count(F.lit(1)).alias("tf"))
 
 
@@ -33,9 +36,10 @@ def bm25_scores(documents: DataFrame, queries: DataFrame) -> DataFrame:
 
     Only tokens of the queries leave the document side, before anything is shuffled by score.
     """
-    terms = term_counts(documents, "id")
+    asked = cut(term_counts(queries, "query_id").select("query_id", "token"))
+    terms = cut(term_counts(documents, "id", only=asked))
     idf = document_frequency(terms, "id", documents.agg(F.count("id").alias("n")))
-    asked = term_counts(queries, "query_id").select("query_id", "token").join(idf, "token").select("query_id", "token", "idf")
+    asked = asked.join(idf, "token").select("query_id", "token", "idf")
     found = bm25_weights(terms).join(asked, "token")
     return found.groupBy("query_id", "id").agg(F.round(F.sum(F.col("weight") * F.col("idf")), 6).alias("score"))
 
@@ -48,7 +52,7 @@ def overlap_scores(documents: DataFrame, queries: DataFrame) -> DataFrame:
     """Share of the query's different words that a document holds: an offline stand-in for a reranker."""
     q = term_counts(queries, "query_id").select("query_id", "token")
     size = q.groupBy("query_id").agg(F.count(F.lit(1)).alias("n"))
-    both = term_counts(documents, "id").select("id", "token").join(q, "token").groupBy("query_id", "id").agg(F.count(F.lit(1)).alias("both"))
+    both = term_counts(documents, "id", only=q).select("id", "token").join(q, "token").groupBy("query_id", "id").agg(F.count(F.lit(1)).alias("both"))
     return both.join(size, "query_id").select("query_id", "id", F.round(F.col("both") / F.col("n"), 6).alias("score"))
 
 

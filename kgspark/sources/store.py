@@ -88,7 +88,7 @@ def run_sql(spark: SparkSession, text: str, **args: object) -> DataFrame:
 def size_batches(rows: DataFrame, most_bytes: int) -> DataFrame:
     """``rows`` with ``batch_id``: consecutive rows of a partition up to a size as JSON; a larger row is alone."""
     sized = rows.withColumn("_size", json_size(*rows.columns)).withColumn("_part", F.spark_partition_id())
-    schema = rows.withColumn("batch_id", F.lit("")).schema
+    schema, names = rows.withColumn("batch_id", F.lit("")).schema, rows.columns
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         number, used = 0, 0
@@ -99,7 +99,7 @@ def size_batches(rows: DataFrame, most_bytes: int) -> DataFrame:
                     number, used = number + 1, 0
                 used += size
                 ids.append(f"{part}-{number}")
-            yield pa.RecordBatch.from_arrays([*[b.column(c) for c in rows.columns], pa.array(ids, pa.string())], names=[*rows.columns, "batch_id"])
+            yield pa.RecordBatch.from_arrays([*[b.column(c) for c in names], pa.array(ids, pa.string())], names=[*names, "batch_id"])
 
     return sized.mapInArrow(run, schema)
 
