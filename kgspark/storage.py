@@ -35,3 +35,8 @@ def cut(df: DataFrame) -> DataFrame:
     path = f"{shared_dir(df.sparkSession)}/cut-{uuid.uuid4().hex}"
     df.write.parquet(path)
     return df.sparkSession.read.schema(df.schema).parquet(path)
+
+
+def tasks_for_cpu(spark: SparkSession) -> int:
+    """Tasks for work that is heavy in CPU but small in bytes, which adaptive execution would merge into few."""
+    return max(2 * spark.sparkContext.defaultParallelism, int(spark.conf.get("spark.sql.shuffle.partitions")))
