@@ -3,6 +3,7 @@
 import os
 
 import duckdb
+import pandas as pd
 import pytest
 
 import __spark_entry__ as entry
@@ -16,7 +17,7 @@ def cells(v):
         v = v.tolist()
     if isinstance(v, (list, tuple)):
         return "[" + ",".join(map(cells, v)) + "]"
-    if v is None or v != v:
+    if v is None or v is pd.NA or v is pd.NaT or isinstance(v, float) and v != v:
         return "NULL"
     if isinstance(v, bool):
         return str(int(v))
