@@ -45,7 +45,7 @@ class NearDuplicateSpec:
     threshold: float = 0.8
     rows: int = 3
     bands: int = 36
-    positions: int = 24
+    positions: int = 32
     spread: float = 3.2
 
     @property
