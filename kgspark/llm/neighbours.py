@@ -18,7 +18,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from kgspark.storage import cut
+from kgspark.storage import cut, tasks_for_cpu
 
 BLOCK_ROWS = 32_768
 _TILE = 1_024
@@ -144,10 +144,12 @@ def nearest(points: DataFrame, k: int = 5, min_similarity: float | None = None,
     left = placed.withColumn("other", F.explode(F.filter(every, lambda o: o >= F.col("block")))).withColumn("pair", F.col("block") * blocks + F.col("other"))
     right = placed.withColumn("other", F.explode(F.filter(every, lambda o: o <= F.col("block")))).withColumn("pair", F.col("other") * blocks + F.col("block"))
     least = -np.inf if min_similarity is None else float(min_similarity)
+    tasks = max(tasks_for_cpu(points.sparkSession), blocks * (blocks + 1))
     found = (
         left.select("pair", "block", "class_id", "vector")
+        .repartition(tasks, "pair")
         .groupBy("pair")
-        .cogroup(right.select("pair", "block", "class_id", "vector").groupBy("pair"))
+        .cogroup(right.select(F.col("pair").alias("other_pair"), "block", "class_id", "vector").repartition(tasks, "other_pair").groupBy("other_pair"))
         .applyInArrow(_guarded(_block_join(dim, k, least)), "class_id bigint, partner bigint, similarity double")
     )
     order = Window.partitionBy("class_id").orderBy(F.desc("similarity"), "partner")
