@@ -128,6 +128,27 @@ class Ontology:
                     return rule.to, rule.swap
         return None
 
+    def allowed_relations(self, types: list[str]) -> dict[str, list[tuple[str, str]]]:
+        """Relations that can hold between some two of these types, with the pairs; unconstrained ones with no pairs."""
+        pairs = [(s, o) for s in sorted(set(types)) for o in sorted(set(types)) if s in self.entities and o in self.entities]
+        out = {}
+        for r in self.relations.values():
+            if not r.domain and not r.range:
+                out[r.name] = []
+            elif fitting := [p for p in pairs if self.allows(r.name, *p)]:
+                out[r.name] = fitting
+        return out
+
+    def describe(self, types: list[str] | None = None) -> str:
+        """The vocabulary as text, with only the relations that fit the given types."""
+        lines = [f"{e.name}: {e.description}".rstrip(": ") for e in self.entities.values() if types is None or e.name in types]
+        fitting = self.relations if types is None else self.allowed_relations(types)
+        for name in fitting:
+            r = self.relations[name]
+            ends = f" ({' | '.join(r.domain) or 'any'} -> {' | '.join(r.range) or 'any'})"
+            lines.append(f"{name}{ends}: {r.description}".rstrip(": "))
+        return "\n".join(lines)
+
     # Tables
 
     def spellings(self, spark: SparkSession, kind: str = "entity") -> DataFrame:
