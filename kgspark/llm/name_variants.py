@@ -25,8 +25,8 @@ from kgspark.storage import cut, tasks_for_cpu
 
 #: Strings in one trie; larger shards are split into several, each walked by all that fit the shard.
 TRIE_STRINGS = 20_000
-#: A first word of this many different names is a given name; a phrase after this many own words is a kind.
-GIVEN_NAMES_FROM, KINDS_FROM = 12, 5
+#: A first word of this many different names is a given name.
+GIVEN_NAMES_FROM = 12
 #: Learned words that are sent to the tasks, most frequent first.
 MAX_GIVEN, MAX_KINDS = 20_000, 2_000
 
@@ -145,6 +145,7 @@ def _organisation(tokens: list[tuple[str, bool]], number: str, lexicon: Lexicon)
     """The reading as an organisation: a known kind at the end or the beginning, the own words besides."""
     words = [(w, dot) for w, dot in tokens if w not in _FOLDED_SMALL]
     bare = [(w, dot) for w, dot in words if w not in _FOLDED_FORMS]
+    words = [(w, dot) for w, dot in words if w not in _FOLDED_FORMS or w in _SHORTENING_FORMS]
     for these in (words, bare):
         for size in (3, 2, 1):
             if len(these) <= size:
@@ -264,6 +265,8 @@ def _person(tokens: list[tuple[str, bool]], places: list[int], text: str, owned:
 
 _FOLDED_SMALL = frozenset(map(fold, _SMALL))
 _FOLDED_FORMS = frozenset(map(fold, FORMS)) | {"s", "sc", "a"}
+#: Forms that may also be short for a word of a kind, as in "Savings Co.".
+_SHORTENING_FORMS = frozenset(map(fold, ("co", "corp"))) | {"s", "sc", "a"}
 _FOLDED_PLACES = frozenset(map(fold, NOT_ORGANISATIONS))
 _FOLDED_TITLES = frozenset(map(fold, TITLES))
 _FOLDED_DEGREES = frozenset(map(fold, DEGREES))
@@ -288,22 +291,41 @@ def _ends(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 
 
 def _phrases(people: frozenset[str]):
-    """Phrases after a word that is no given name."""
+    """First words and the phrases after them, without forms of companies, and whether a given name is among them."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
             out = []
             for name in b.column("name").to_pylist():
-                t = [w for w in map(fold, _plain_words(name)) if w not in _FOLDED_SMALL]
-                if len(t) > 1 and not people.intersection(t) and t[0] not in _FOLDED_TITLES:
-                    out.append(" ".join(t[1:]))
-            yield pa.RecordBatch.from_arrays([pa.array(out, pa.string())], names=["words"])
+                t = [w for w in map(fold, _plain_words(name)) if w not in _FOLDED_SMALL and w not in _FOLDED_FORMS]
+                if len(t) > 1 and len(t[0]) > 3 and t[0] not in _FOLDED_TITLES:
+                    out.append((t[0], " ".join(t[1:]), not people.isdisjoint(t)))
+            cols = list(zip(*out)) or [()] * 3
+            yield pa.RecordBatch.from_arrays([pa.array(cols[0], pa.string()), pa.array(cols[1], pa.string()), pa.array(cols[2], pa.bool_())], names=["own", "words", "person"])
 
     return run
 
 
+def _kind_phrases(names: DataFrame, people: frozenset[str]) -> DataFrame:
+    """``(words, count)`` of the phrases that are kinds of organisations, in the names given.
+
+    A kind is shared by own words that are no spellings of one another, by more of
+    them than there are phrases after each on average (a family name has fewer given
+    names than these have family names), and by more than it has given names. These
+    are comparisons within the names, so more names of the same sort change nothing.
+    """
+    pairs = cut(names.mapInArrow(_phrases(people), "own string, words string, person boolean").distinct())
+    others = pairs.where("NOT person").groupBy("own").agg(F.count(F.lit(1)).alias("phrases"))
+    shared = pairs.where("NOT person").join(others, "own").groupBy("words").agg(
+        F.count(F.lit(1)).alias("count"), F.avg("phrases").alias("phrases"), F.min("own").alias("low"), F.max("own").alias("high")
+    )
+    persons = pairs.where("person").groupBy("words").agg(F.count(F.lit(1)).alias("persons"))
+    unlike = 2 * F.levenshtein("low", "high") > F.greatest(F.length("low"), F.length("high"))
+    return shared.where(unlike & (F.col("count") > F.col("phrases"))).join(persons, "words", "left").where("count > coalesce(persons, 0)").select("words", "count")
+
+
 def learn(names: DataFrame) -> Lexicon:
-    """Given names and kinds that the names themselves show by their frequency, with the fixed ones."""
+    """Given names and kinds that the names themselves show, with the fixed ones."""
     counts = cut(names.mapInArrow(_ends, "role string, words string, letter string").groupBy("role", "words").agg(F.count(F.lit(1)).alias("n"), F.min("letter").alias("letter")).where(F.col("n") >= GIVEN_NAMES_FROM))
     often = {role: {r["words"]: r for r in counts.where(F.col("role") == role).orderBy(F.desc("n"), "words").limit(MAX_GIVEN).collect()} for role in ("first", "last")}
     short = {fold(k): frozenset(map(fold, v)) for k, v in SHORT_FORMS.items()}
@@ -311,11 +333,11 @@ def learn(names: DataFrame) -> Lexicon:
     for w, r in often["first"].items():
         if w not in short and r["n"] > 3 * (often["last"][w]["n"] if w in often["last"] else 0):
             given.setdefault(w, r["letter"])
-    phrases = names.mapInArrow(_phrases(frozenset({*given, *short})), "words string").groupBy("words").count().where(F.col("count") >= KINDS_FROM)
+    phrases = _kind_phrases(names, frozenset({*given, *short}))
     kinds: dict[tuple[str, ...], tuple[str, ...]] = {}
     for (phrase,) in phrases.orderBy(F.desc("count"), "words").limit(MAX_KINDS).select("words").collect():
         words = tuple(phrase.split())
-        kinds[words] = next((f for f in set(kinds.values()) if len(f) == len(words) and all(_shortens(w, g, False) for w, g in zip(words, f))), words)
+        kinds[words] = next((f for f in dict.fromkeys(kinds.values()) if len(f) == len(words) and all(_shortens(w, g, False) for w, g in zip(words, f))), words)
     return Lexicon(given, short, kinds)
 
 

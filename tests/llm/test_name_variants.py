@@ -56,3 +56,25 @@ def test_nulls_blank_and_empty(spark):
 
 def test_fold():
     assert fold("Wаrd") == fold("ward") and fold("Ксения") == fold("Xeniia") and fold("É") == "e"
+
+
+OWN = ("Bagreldo", "Cunimestra", "Dolirampe", "Fegunalsi", "Gorampesti", "Hulinestro", "Kevratoni", "Lopiduska")
+
+
+def test_legal_forms_are_no_part_of_a_kind_however_frequent(spark):
+    forms = ("", " GmbH", " Ltd")
+    for owns in (OWN[:2], OWN):  # few and many names with each form
+        assert groups(spark, [f"{w} Observatory{f}" for w in owns for f in forms]) == sorted(sorted(f"{w} Observatory{f}" for f in forms) for w in owns)
+
+
+def test_kinds_do_not_depend_on_the_number_of_names(spark):
+    for owns in (OWN[:2], OWN):
+        one = ["Stekigrusta Rope Works", "Rope Works, Stekigrusta", "Stekigrusta R. W."]
+        assert sorted(one) in groups(spark, [*one, *[f"{w} Rope Works" for w in owns]])
+
+
+def test_a_family_name_is_no_kind(spark):
+    given = ("Helmut", "Brigitte", "Gudrun", "Manfred", "Rainer", "Sigrid")
+    families = ("Kowalmerski", "Schulzendorp", "Brenzhaupt", "Dommeldanz", "Fruchtgold", "Gansebein", "Hirtzelback")
+    got = groups(spark, [*[f"{g} {f}" for g in given for f in families], "H. Kowalmerski"])
+    assert ["H. Kowalmerski", "Helmut Kowalmerski"] in got
