@@ -2,9 +2,10 @@
 
 All names and aliases are the patterns of one automaton; it reads the value's
 words and finds every pattern embedded in it, of which the longest without overlap
-count. Values in which nothing is found are compared with the patterns as sets of
-words, each word by its edit distance, so that spelling, word order and joined or
-split words make little difference. What is near none is reported as unmatched.
+count. Values in which nothing is found are compared with the patterns letter by
+letter without spaces, for joined and split words, and what is near none then as
+sets of words, each word by its edit distance, in whatever order. What is still
+near none is reported as unmatched.
 """
 
 from __future__ import annotations
@@ -22,6 +23,8 @@ UNMATCHED = "UNMATCHED"
 #: Names and aliases that one automaton takes; longer lists are refused.
 MAX_PATTERNS = 200_000
 _CACHE_VALUES = 500_000
+#: Least overlap of two sets of words: of any two, and where all words of the pattern are met.
+LEAST_OVERLAP, LEAST_OVERLAP_WHOLE = 0.6, 0.4
 
 _UNSEEN = re.compile("[­͏؜​-‏‪-‮⁠-⁯︀-️﻿̀-ͯ]+")
 _CAMEL = re.compile(r"(?<=[a-zà-ÿ])(?=[A-Z])")
@@ -79,6 +82,14 @@ class Canonical:
         self.by_size: dict[int, list[str]] = {}
         for p in self.joined:
             self.by_size.setdefault(len(p), []).append(p)
+        self.word_sets = {p: frozenset(p.split()) for p in self.patterns}
+        self.with_word: dict[str, list[str]] = {}
+        for p, ws in self.word_sets.items():
+            for w in ws:
+                self.with_word.setdefault(w, []).append(p)
+        self.words_by_size: dict[int, list[str]] = {}
+        for w in self.with_word:
+            self.words_by_size.setdefault(len(w), []).append(w)
         self.automaton = ahocorasick.Automaton()
         for p in self.patterns:
             self.automaton.add_word(f" {p} ", p)
@@ -98,10 +109,10 @@ class Canonical:
         return [self.patterns[p] for _, _, p in sorted(taken)]
 
     def similar(self, tokens: list[str]) -> str | None:
-        """The name whose pattern is nearest as a set of words; None if none is near or two names tie."""
+        """The name whose pattern is nearest, without spaces or else as a set of words; None if none is near or two names tie."""
         core = [t for t in tokens if t not in NOISE]
         best: dict[str, float] = {}
-        for form in dict.fromkeys(("".join(core), "".join(tokens), "".join(sorted(core)))):
+        for form in dict.fromkeys(("".join(core), "".join(tokens))):
             if not form:
                 continue
             singular = form[:-1] if form.endswith("s") and len(form) > 4 else form
@@ -116,10 +127,43 @@ class Canonical:
                         name = self.joined[p]
                         best[name] = min(best.get(name, 9), d / max(len(form), len(p)))
         if not best:
-            return None
+            return self.overlapping(tokens)
         (name, d), *rest = sorted(best.items(), key=lambda x: (x[1], x[0]))
         return None if rest and rest[0][1] == d else name
 
+    def near_words(self, word: str) -> dict[str, int]:
+        """Words of patterns within the edits allowed, with their distances."""
+        near, limit = {}, allowed_edits(len(word))
+        for size in range(len(word) - limit, len(word) + limit + 1):
+            most = min(limit, allowed_edits(size))
+            for w in self.words_by_size.get(size, ()):
+                if (d := edits(word, w, most)) <= most:
+                    near[w] = d
+        return near
+
+    def overlapping(self, tokens: list[str]) -> str | None:
+        """The name whose pattern's words overlap most with the value's, over the union of both; None if too little or two names tie.
+
+        Each word is met by at most one, the nearest first, and counts less by its share of edits. NOISE that meets nothing does not count.
+        """
+        near = {t: self.near_words(t) for t in set(tokens)}
+        best: dict[str, float] = {}
+        for p in {p for ws in near.values() for w in ws for p in self.with_word[w]}:
+            met: dict[str, str] = {}
+            weight = 0.0
+            for d, t, w in sorted((near[t][w], t, w) for t in near for w in self.word_sets[p] & near[t].keys()):
+                if t not in met and w not in met.values():
+                    met[t] = w
+                    weight += 1 - d / max(len(t), len(w))
+            missing = len(self.word_sets[p]) - len(met)
+            overlap = weight / (len(met) + missing + sum(t not in met and t not in NOISE for t in near))
+            if overlap > (LEAST_OVERLAP if missing else LEAST_OVERLAP_WHOLE):
+                name = self.patterns[p]
+                best[name] = max(best.get(name, 0.0), overlap)
+        most = max(best.values(), default=0.0)
+        names = [n for n, o in best.items() if most - o < 1e-9]
+        return names[0] if len(names) == 1 else None
+
     def find(self, value: str) -> str:
         """The name a value stands for, or UNMATCHED."""
         tokens = words(value)

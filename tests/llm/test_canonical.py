@@ -35,3 +35,21 @@ def test_rows(spark):
     assert got == [(1, "SHIP"), (4, "SHIP"), (4, "SHIP"), (5, UNMATCHED)]
     assert {r["canonical_name"] for r in map_to_list(rows, ref.limit(0)).collect()} == {UNMATCHED}
     assert map_to_list(rows.limit(0), ref).count() == 0
+
+
+WORDS = [("MERCHANT_HOUSE", "MERCHANT_HOUSE"), ("FUNDED_BY", "FINANCED_BY"), ("RULED_FROM", "RULED_FROM"), ("SETTLEMENT", "SETTLEMENT"), ("STORED_UNDER", "STORED_UNDER"), ("TIED_UP_AT", "MOORED_AT")]
+
+
+@pytest.mark.parametrize(
+    "value,name",
+    [
+        ("house merchant", "MERCHANT_HOUSE"), ("huose, merchnt", "MERCHANT_HOUSE"), ("by funded", "FINANCED_BY"), ("under stored", "STORED_UNDER"), ("at tied up", "MOORED_AT"), ("tied at", "MOORED_AT"),
+        ("about a settlment", "SETTLEMENT"), ("by ruled", UNMATCHED), ("house", UNMATCHED), ("by", UNMATCHED), ("under", UNMATCHED),
+    ],
+)
+def test_word_sets_in_any_order(value, name):
+    assert Canonical(WORDS).find(value) == name
+
+
+def test_equal_overlaps_are_unmatched():
+    assert Canonical([("stone bridge", "A"), ("stone bridgs", "B")]).find("bridg stone") == UNMATCHED
