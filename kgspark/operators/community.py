@@ -110,14 +110,41 @@ def _hierarchy(max_size: int, resolution: float):
 def spread_labels(edges: DataFrame, rounds: int = 5) -> DataFrame:
     """``(node, label)`` by label spreading: each node takes the label most of its neighbours have, ties to the smaller.
 
-    Counts are partial before the shuffle, so a hub's neighbours are never gathered.
+    The own label counts as much as the heaviest edge. Nodes that then share their
+    label with no neighbour are joined to one by ``_settled``. Counts are partial
+    before the shuffle, so a hub's neighbours are never gathered.
     """
-    both = edges.select("a", "b", "w").unionByName(edges.select(F.col("b").alias("a"), F.col("a").alias("b"), "w"))
-    labels = cut(both.select(F.col("a").alias("node")).distinct().withColumn("label", F.col("node")))
+    both = cut(edges.select("a", "b", "w").unionByName(edges.select(F.col("b").alias("a"), F.col("a").alias("b"), "w")))
+    kept = cut(both.groupBy(F.col("a").alias("node")).agg(F.max("w").alias("w")))
+    labels = kept.select("node", F.col("node").alias("label"))
     for _ in range(rounds):
-        votes = both.join(labels, F.col("b") == F.col("node")).groupBy("a", "label").agg(F.sum("w").alias("w"))
-        best = votes.groupBy("a").agg(F.min_by("label", F.struct((-F.col("w")).alias("w"), "label")).alias("label"))
-        labels = cut(best.withColumnRenamed("a", "node"))
+        own = kept.join(labels, "node").select(F.col("node").alias("a"), "label", "w")
+        votes = both.join(labels, F.col("b") == F.col("node")).select("a", "label", "w").unionByName(own).groupBy("a", "label").agg(F.sum("w").alias("w"))
+        labels = cut(_most_votes(votes).withColumnRenamed("a", "node"))
+    return _settled(both, labels)
+
+
+def _most_votes(votes: DataFrame) -> DataFrame:
+    return votes.groupBy("a").agg(F.min_by("label", F.struct((-F.col("w")).alias("w"), "label")).alias("label"))
+
+
+def _settled(both: DataFrame, labels: DataFrame, rounds: int = 10) -> DataFrame:
+    """Labels after nodes that share theirs with no neighbour took one from neighbours that do share theirs.
+
+    Only these nodes change, so what is shared stays so. Where no neighbour shares its
+    label either, the smallest id among the node and its neighbours becomes the label.
+    """
+    for _ in range(rounds):
+        seen = both.join(labels.select(F.col("node").alias("a"), F.col("label").alias("la")), "a").join(labels.select(F.col("node").alias("b"), F.col("label").alias("lb")), "b")
+        shared = cut(seen.where("la = lb").select(F.col("a").alias("node")).distinct())
+        alone = cut(labels.join(shared, "node", "left_anti").select(F.col("node").alias("a")))
+        if not alone.limit(1).count():
+            break
+        near = cut(both.join(alone, "a", "left_semi"))
+        votes = near.join(labels.join(shared, "node", "left_semi"), F.col("b") == F.col("node")).groupBy("a", "label").agg(F.sum("w").alias("w"))
+        least = near.groupBy("a").agg(F.least(F.col("a"), F.min("b")).alias("least"))
+        taken = least.join(_most_votes(votes), "a", "left").select(F.col("a").alias("node"), F.coalesce("label", "least").alias("taken"))
+        labels = cut(labels.join(taken, "node", "left").select("node", F.coalesce("taken", "label").alias("label")))
     return labels
 
 
@@ -128,7 +155,8 @@ def detect_communities(relations: DataFrame, max_cluster_size: int = 128, resolu
     connected component is divided by itself in one task; communities above
     ``max_cluster_size`` are divided again on the next level. A component of more than
     ``component_edges`` edges is first cut by label spreading into parts, which are
-    divided like components. Isolated nodes get no cluster; cluster ids count from 0
+    divided like components; a node without an edge in its part is a cluster of its
+    own. Isolated nodes get no cluster; cluster ids count from 0
     on each level, in order of the communities' smallest ids.
     """
     e = relations.where("subject_id IS NOT NULL AND object_id IS NOT NULL AND subject_id <> object_id").select(
@@ -142,7 +170,9 @@ def detect_communities(relations: DataFrame, max_cluster_size: int = 128, resolu
         big = cut(e.join(large, "component", "left_semi"))
         labels = spread_labels(big)
         cuts = big.join(labels.select(F.col("node").alias("a"), F.col("label").alias("la")), "a").join(labels.select(F.col("node").alias("b"), F.col("label").alias("lb")), "b")
-        e = e.join(large, "component", "left_anti").unionByName(cuts.where("la = lb").select(F.col("la").alias("component"), "a", "b", "w"))
+        inside = cuts.where("la = lb").select(F.col("la").alias("component"), "a", "b", "w")
+        each = labels.select(F.col("label").alias("component"), F.col("node").alias("a"), F.col("node").alias("b"), F.lit(0.0).alias("w"))  # weightless loops, so that no node is lost
+        e = e.join(large, "component", "left_anti").unionByName(inside).unionByName(each)
     found = e.groupBy("component").applyInPandas(_hierarchy(max_cluster_size, resolution), "id string, level int, head string")
     found = cut(found)
     # Heads are numbered by range-sorted order with a running count a partition, not in one window.

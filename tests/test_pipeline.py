@@ -115,6 +115,20 @@ def test_communities(spark):
         assert sorted(map(sorted, got.values())) == [list("abcd"), list("efgh"), ["p", "q"]] and sorted(got) == [0, 1, 2]
 
 
+def test_cut_components_keep_every_node(spark):
+    star = [("m", x) for x in "abcxyz"]
+    sides = [(f"s{i}", f"t{j}") for i in range(3) for j in range(3)]
+    path = [(f"v{i}", f"v{i + 1}") for i in range(8)]
+    for edges in (star, sides, path, star + sides + path + [("a", "s0"), ("z", "v4")]):
+        rel = spark.createDataFrame([(f"{a}-{b}", a, b, 1.0) for a, b in edges], "id string, subject_id string, object_id string, relation_strength double")
+        got = [r for r in community.detect_communities(rel, component_edges=2).where("level = 0").collect()]
+        assert sorted(r["id"] for r in got) == sorted({n for e in edges for n in e})
+        shared = {r["id"]: r["cluster_id"] for r in got}
+        assert all(any(shared[a] == shared[b] for a, b in edges if n in (a, b)) for n in shared)
+        if edges is star:
+            assert len(set(shared.values())) == 1
+
+
 def test_components(spark):
     edges = [(i, i + 1) for i in range(40)] + [(100, 101), (101, 100), (7, 7), (200, 200), (None, 3)]
     got = {r["node"]: r["component"] for r in connected_components(spark.createDataFrame(edges, "a int, b int")).collect()}
