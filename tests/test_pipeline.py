@@ -5,7 +5,9 @@ from pyspark.sql import functions as F
 
 from kgspark.operators import audit, chunking, community, engines, models, ranking
 from kgspark.operators.build import build
+from kgspark.operators.chunking import hashed_embedding
 from kgspark.operators.components import connected_components
+from kgspark.operators.ontology import Ontology, Policies
 from kgspark.sources import files, graph_files, store
 
 DOCS = ["Ann knows Bob. Bob knows Cid.", "Cid knows Ann. Dan sleeps.", "Ann knows Bob. Bob knows Cid."]
@@ -38,6 +40,22 @@ def test_build_is_consistent_and_idempotent(spark):
         build(docs, split_extractor, modules=[lambda e, r: e])
 
 
+def test_build_validates_summarises_and_embeds(spark):
+    def extractor(text):
+        e = [{"entity_name": n, "entity_type": t, "description": n} for n, t in (("Ann", "person"), ("Rome", "CITTY"), ("Blob", "quux"))]
+        r = [{"source_entity": a, "target_entity": b, "relation_type": k, "description": "d", "relationship_strength": 1} for a, b, k in (("Rome ", "Ann", "home of"), ("Ann", "Ann", "LIVES_IN"), ("Ann", "Blob", "LIVES_IN"), ("Ann", "Rome", "quux"))]
+        return e, r
+
+    onto = Ontology.from_mapping({"entities": ["PERSON", "CITTA"], "relations": [{"name": "LIVES_IN", "domain": ["PERSON"], "range": ["CITTA"], "inverse_aliases": ["HOME_OF"]}]})
+    docs = spark.createDataFrame([("some text",)], "text string")
+    g = build(docs, extractor, ontology=onto, policies=Policies(cutoff=0.7), reporter=lambda lists: lists.map(lambda t: "; ".join(t)), embedder=hashed_embedding)
+    assert sorted((r["entity_name"], r["entity_type"]) for r in g.entities.collect()) == [("Ann", "PERSON"), ("Rome", "CITTA")]
+    assert [(r["subject_name"], r["relation_type"], r["object_name"]) for r in g.relations.collect()] == [("Ann", "LIVES_IN", "Rome")]
+    assert {r["id"] for r in g.summaries.collect()} == {r["id"] for r in g.communities.collect()} != set()
+    for vectors, rows in ((g.chunk_vectors, g.chunks), (g.entity_vectors, g.entities), (g.relation_vectors, g.relations)):
+        assert {r["id"] for r in vectors.where("embedding IS NOT NULL").collect()} == {r["id"] for r in rows.collect()} != set()
+
+
 def python_pack(sentences, size, overlap):
     out, cur = [], ""
     for s in sentences:
