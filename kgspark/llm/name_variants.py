@@ -21,13 +21,13 @@ from pyspark.sql import functions as F
 
 from kgspark.llm.canonical import edits
 from kgspark.operators.components import connected_components
-from kgspark.storage import cut, tasks_for_cpu
+from kgspark.storage import at_most, cut, tasks_for_cpu
 
 #: Strings in one trie; larger shards are split into several, each walked by all that fit the shard.
 TRIE_STRINGS = 20_000
 #: A first word of this many different names is a given name.
 GIVEN_NAMES_FROM = 12
-#: Learned words that are sent to the tasks, most frequent first.
+#: Learned words that are sent to the tasks; more are refused.
 MAX_GIVEN, MAX_KINDS = 20_000, 2_000
 
 # Given names by which short forms are understood.
@@ -327,15 +327,16 @@ def _kind_phrases(names: DataFrame, people: frozenset[str]) -> DataFrame:
 def learn(names: DataFrame) -> Lexicon:
     """Given names and kinds that the names themselves show, with the fixed ones."""
     counts = cut(names.mapInArrow(_ends, "role string, words string, letter string").groupBy("role", "words").agg(F.count(F.lit(1)).alias("n"), F.min("letter").alias("letter")).where(F.col("n") >= GIVEN_NAMES_FROM))
-    often = {role: {r["words"]: r for r in counts.where(F.col("role") == role).orderBy(F.desc("n"), "words").limit(MAX_GIVEN).collect()} for role in ("first", "last")}
+    last = counts.where("role = 'last'").select("words", F.col("n").alias("last"))
+    first = counts.where("role = 'first'").join(last, "words", "left").where("n > 3 * coalesce(last, 0)")
     short = {fold(k): frozenset(map(fold, v)) for k, v in SHORT_FORMS.items()}
     given = {fold(g): g[0] for g in sorted(GIVEN)}
-    for w, r in often["first"].items():
-        if w not in short and r["n"] > 3 * (often["last"][w]["n"] if w in often["last"] else 0):
-            given.setdefault(w, r["letter"])
+    for w, letter in at_most(first.orderBy(F.desc("n"), "words").select("words", "letter"), MAX_GIVEN, "given names"):
+        if w not in short:
+            given.setdefault(w, letter)
     phrases = _kind_phrases(names, frozenset({*given, *short}))
     kinds: dict[tuple[str, ...], tuple[str, ...]] = {}
-    for (phrase,) in phrases.orderBy(F.desc("count"), "words").limit(MAX_KINDS).select("words").collect():
+    for (phrase,) in at_most(phrases.orderBy(F.desc("count"), "words").select("words"), MAX_KINDS, "kinds of organisations"):
         words = tuple(phrase.split())
         kinds[words] = next((f for f in dict.fromkeys(kinds.values()) if len(f) == len(words) and all(_shortens(w, g, False) for w, g in zip(words, f))), words)
     return Lexicon(given, short, kinds)

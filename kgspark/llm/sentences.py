@@ -21,6 +21,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from kgspark.batches import slices
+from kgspark.storage import at_most
 
 _NL = r"(?:\r\n|[\n\r\v\f\x1c-\x1e\x85 ])"
 _BLANK = re.compile(rf"{_NL}(?:(?!{_NL})\s)*{_NL}\s*| \s*")
@@ -64,7 +65,7 @@ _ARABIC_ON = frozenset("ثم لكن ولكن حتى قبل بعد".split())
 MIN_SIGHTINGS, MIN_INSIDE = 5, 0.6
 #: A token stands before numbers from this share of all its sightings.
 MIN_NUMBERS = 0.8
-#: Abbreviations that are broadcast.
+#: Abbreviations that are broadcast; more are refused.
 MAX_ABBREVIATIONS = 200_000
 _SIGHTING = re.compile(r"(?<![^\s(\[«„“\"])([^\W\d_]{1,6})\.(?=([,;:])|\s+([^\W_]))")
 INSIDE, OUTSIDE, NUMBER = range(3)
@@ -332,8 +333,8 @@ def corpus_abbreviations(documents: DataFrame) -> DataFrame:
 
 
 def learn(documents: DataFrame) -> Abbreviations:
-    """The corpus fallback of ``units``; tokens have at most 6 letters, of more than MAX_ABBREVIATIONS the most frequent count."""
-    found = corpus_abbreviations(documents).orderBy(F.desc(F.col("inside") + F.col("numbers")), "token").limit(MAX_ABBREVIATIONS).collect()
+    """The corpus fallback of ``units``; tokens have at most 6 letters, more than MAX_ABBREVIATIONS are refused."""
+    found = at_most(corpus_abbreviations(documents), MAX_ABBREVIATIONS, "abbreviations")
     return Abbreviations(
         frozenset(r["token"] for r in found if r["inside"] >= MIN_SIGHTINGS and r["inside"] >= MIN_INSIDE * (r["inside"] + r["outside"])),
         frozenset(r["token"] for r in found if r["numbers"] >= MIN_NUMBERS * (r["inside"] + r["outside"] + r["numbers"])),

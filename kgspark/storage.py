@@ -37,6 +37,14 @@ def cut(df: DataFrame) -> DataFrame:
     return df.sparkSession.read.schema(df.schema).parquet(path)
 
 
+def at_most(df: DataFrame, most: int, what: str) -> list:
+    """All rows, for the driver; an error if there are more than ``most``."""
+    rows = df.limit(most + 1).collect()
+    if len(rows) > most:
+        raise ValueError(f"there are more than {most} {what}; split the input")
+    return rows
+
+
 def tasks_for_cpu(spark: SparkSession) -> int:
     """Tasks for work that is heavy in CPU but small in bytes, which adaptive execution would merge into few."""
     return max(2 * spark.sparkContext.defaultParallelism, int(spark.conf.get("spark.sql.shuffle.partitions")))

@@ -1,5 +1,8 @@
 import random
 
+import pytest
+
+from kgspark.llm import name_variants as module
 from kgspark.llm.canonical import edits
 from kgspark.llm.name_variants import Trie, fold, name_variants
 
@@ -78,3 +81,10 @@ def test_a_family_name_is_no_kind(spark):
     families = ("Kowalmerski", "Schulzendorp", "Brenzhaupt", "Dommeldanz", "Fruchtgold", "Gansebein", "Hirtzelback")
     got = groups(spark, [*[f"{g} {f}" for g in given for f in families], "H. Kowalmerski"])
     assert ["H. Kowalmerski", "Helmut Kowalmerski"] in got
+
+
+@pytest.mark.parametrize("bound,names", [("MAX_KINDS", [f"{w} {k}" for w in OWN for k in ("Rope Works", "Chart Office")]), ("MAX_GIVEN", [f"{g} Kowalmer{x}{y}" for g in ("Helmut", "Sigrid") for x in "abcd" for y in "efgh"])])
+def test_too_many_learned_words_are_refused(spark, monkeypatch, bound, names):
+    monkeypatch.setattr(module, bound, 1)
+    with pytest.raises(ValueError, match="more than 1 "):
+        groups(spark, names)

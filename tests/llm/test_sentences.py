@@ -1,5 +1,6 @@
 import pytest
 
+from kgspark.llm import sentences as module
 from kgspark.llm.sentences import sentences, units
 
 CASES = [
@@ -42,3 +43,9 @@ def test_corpus_shows_abbreviations(spark):
     got = sentences(spark.createDataFrame(rows, "doc_id long, text string, unit_start string")).collect()
     assert sorted(r["doc_id"] for r in got) == sorted([*range(8), *range(8), 7, 7, 92])
     assert sentences(spark.createDataFrame([], "doc_id long, text string")).count() == 0
+
+
+def test_too_many_abbreviations_are_refused(spark, monkeypatch):
+    monkeypatch.setattr(module, "MAX_ABBREVIATIONS", 1)
+    with pytest.raises(ValueError, match="more than 1 abbreviations"):
+        module.learn(spark.createDataFrame([("See zeg. in qop. and more, " * 9,)], "text string"))
