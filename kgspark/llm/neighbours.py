@@ -20,7 +20,10 @@ from pyspark.sql import functions as F
 
 from kgspark.storage import cut, tasks_for_cpu
 
-BLOCK_ROWS = 32_768
+BLOCK_BYTES = 32 << 20
+"""Most bytes of floats in a block; a task holds two blocks."""
+MOST_TASKS = 20_000
+"""Most tasks of the join; beyond it a task works through several pairs of blocks, one after the other."""
 _TILE = 1_024
 _COLUMNS = 8_192
 
@@ -34,12 +37,12 @@ class _Block:
         norm = np.sqrt(np.einsum("ij,ij->i", v, v, dtype=np.float64))
         self.unit = v / norm[:, None]  # float64
         self.scale = np.abs(self.unit).max(axis=1) / 127 if len(v) else np.zeros(0)
-        # Whole numbers up to 127 * 127 * dim are exact in float32 while dim <= 1040, in float64 always.
-        self.codes = np.rint(self.unit / self.scale[:, None]).astype(np.int8)
-        self.kind = np.float32 if dim * 127 * 127 < 1 << 24 else np.float64
-        rounded = self.codes * self.scale[:, None]
+        codes = np.rint(self.unit / self.scale[:, None])  # -127 to 127
+        rounded = codes * self.scale[:, None]
         self.off = np.sqrt(((self.unit - rounded) ** 2).sum(axis=1))  # |x - x'|
         self.size = np.sqrt((rounded**2).sum(axis=1))
+        # Whole numbers up to 127 * 127 * dim are exact in float32 while dim <= 1040, in float64 always.
+        self.codes = codes.astype(np.float32 if dim * 127 * 127 < 1 << 24 else np.float64)
 
     def __len__(self) -> int:
         return len(self.ids)
@@ -72,54 +75,67 @@ class _Best:
         self.bound[touched] = np.maximum(least, self.score[touched, -1])
 
 
-def _tile(a: _Block, b: _Block, rows: slice, columns: slice, best: _Best, least: float, same: bool) -> None:
-    k = best.k
-    ia = np.arange(rows.start, min(rows.stop, len(a)))
-    jb = np.arange(columns.start, min(columns.stop, len(b)))
-    s = (a.codes[ia].astype(a.kind) @ b.codes[jb].astype(b.kind).T) * b.scale[jb].astype(np.float32)
-    s *= a.scale[ia, None].astype(np.float32)
-    # |x.y - x'.y'| <= |x - x'| |y| + |x'| |y - y'|, plus what float32 scaling may lose.
-    error = a.off[ia] + a.size[ia] * (b.off[jb].max() if len(jb) else 0) + 1e-6
-    if same:
-        inside = (ia >= jb[0]) & (ia <= jb[-1])
-        s[np.flatnonzero(inside), ia[inside] - jb[0]] = -np.inf
-    limit = (best.bound[ia] - error).astype(np.float32)
-    hit = (s >= limit[:, None]) & (s > -np.inf)  # a vector is not its own neighbour
+def _enter(s: np.ndarray, error: np.ndarray, x0: int, y0: int, p: _Block, q: _Block, best: _Best, least: float) -> None:
+    """Enter into the lists of rows ``x0 ...`` of ``p`` what tile ``s`` of products with ``q`` may hold for them."""
+    k, bound = best.k, best.bound[x0 : x0 + len(s)]
+    hit = s >= (bound - error).astype(np.float32)[:, None]
     many = np.flatnonzero(np.count_nonzero(hit, axis=1) > 4 * k)
     if len(many) and s.shape[1] > k:
         sure = np.partition(s[many], s.shape[1] - k, axis=1)[:, s.shape[1] - k] - error[many]
         hit[many] &= s[many] >= (sure - error[many]).astype(np.float32)[:, None]
     x, y = np.nonzero(hit)
+    if len(bound) and bound.min() == -np.inf:
+        there = s[x, y] > -np.inf
+        x, y = x[there], y[there]
     for at in range(0, len(x), 1 << 20):
-        i, j = ia[x[at : at + (1 << 20)]], jb[y[at : at + (1 << 20)]]
-        exact = np.einsum("ij,ij->i", a.unit[i], b.unit[j])
+        i, j = x[at : at + (1 << 20)] + x0, y[at : at + (1 << 20)] + y0
+        exact = np.einsum("ij,ij->i", p.unit[i], q.unit[j])
         keep = exact >= best.bound[i]
-        best.add(i[keep], b.ids[j[keep]], exact[keep], least)
-
-
-def _block_join(dim: int, k: int, least: float):
-    def join(_key, left: pa.Table, right: pa.Table) -> pa.Table:
-        a, b = _Block(left, dim), _Block(right, dim)
-        same = left["block"][0].as_py() == right["block"][0].as_py()
-        out = []
-        for p, q in ((a, b),) if same else ((a, b), (b, a)):
-            best = _Best(len(p), k, least)
-            for c in range(0, len(q), _COLUMNS):
-                for r in range(0, len(p), _TILE):
-                    _tile(p, q, slice(r, r + _TILE), slice(c, c + _COLUMNS), best, least, same)
-            i, place = np.nonzero(best.score > -np.inf)
-            out.append((p.ids[i], best.partner[i, place], best.score[i, place]))
-        columns = [np.concatenate(c) for c in zip(*out)]
+        best.add(i[keep], q.ids[j[keep]], exact[keep], least)
+
+
+def _pair(a: _Block, b: _Block, k: int, least: float) -> list[tuple[_Block, _Best]]:
+    """Lists of both blocks from all products of ``a`` with ``b``; of one block if they are the same object."""
+    of_a = _Best(len(a), k, least)
+    of_b = of_a if a is b else _Best(len(b), k, least)
+    for y in range(0, len(b), _COLUMNS):
+        columns = slice(y, min(y + _COLUMNS, len(b)))
+        for x in range(0, columns.stop if a is b else len(a), _TILE):
+            rows = slice(x, min(x + _TILE, len(a)))
+            s = a.codes[rows] @ b.codes[columns].T
+            s *= a.scale[rows, None].astype(s.dtype)
+            s *= b.scale[columns].astype(s.dtype)
+            if a is b:  # only pairs above the diagonal: a vector is not its own neighbour, and each pair comes once
+                below = np.arange(rows.start, rows.stop)[:, None] >= np.arange(columns.start, columns.stop)
+                s[below] = -np.inf
+            # |x.y - x'.y'| <= |x - x'| |y| + |x'| |y - y'|, plus what float32 scaling may lose.
+            _enter(s, a.off[rows] + a.size[rows] * b.off[columns].max() + 1e-6, x, y, a, b, of_a, least)
+            _enter(s.T, b.off[columns] + b.size[columns] * a.off[rows].max() + 1e-6, y, x, b, a, of_b, least)
+    return [(a, of_a)] if a is b else [(a, of_a), (b, of_b)]
+
+
+def _block_join(dim: int, k: int, least: float, blocks: int):
+    def join(key, left: pa.Table, right: pa.Table) -> pa.Table:
+        pair = key[0].as_py()
+        a = _Block(left, dim)
+        # A block with itself is one object: the two sides of a shuffle need not come in the same order.
+        b = a if pair // blocks == pair % blocks else _Block(right, dim)
+        parts = []
+        if len(a) and len(b):
+            for block, best in _pair(a, b, k, least):
+                i, place = np.nonzero(best.score > -np.inf)
+                parts.append((block.ids[i], best.partner[i, place], best.score[i, place]))
+        columns = [np.concatenate(c) for c in zip(*parts)] if parts else [np.zeros(0, np.int64), np.zeros(0, np.int64), np.zeros(0)]
         return pa.table({"class_id": columns[0], "partner": columns[1], "similarity": columns[2]})
 
     return join
 
 
-def nearest(points: DataFrame, k: int = 5, min_similarity: float | None = None, dim: int = 64, block_rows: int = BLOCK_ROWS) -> DataFrame:
+def nearest(points: DataFrame, k: int = 5, min_similarity: float | None = None, dim: int = 64, block_rows: int | None = None) -> DataFrame:
     """For every usable ``points(id, vector)`` row its ``k`` most similar others by cosine.
 
-    Result: ``(id, neighbour, similarity, place)``, place from 1; equal similarities
-    prefer the smaller neighbour id. With ``min_similarity`` only pairs of at least
+    Result: ``(id, neighbour, similarity, place)``, place from 1; equal similarities of
+    equal vectors prefer the smaller neighbour id. With ``min_similarity`` only pairs of at least
     that are listed, which prunes most products. Exact: no pair is lost by rounding.
 
     Not usable, as query and as neighbour: a null vector, another length than
@@ -132,43 +148,32 @@ def nearest(points: DataFrame, k: int = 5, min_similarity: float | None = None,
     usable = points.where(
         F.col("id").isNotNull() & (F.size("vector") == dim) & ~bad & F.exists("vector", lambda x: x != 0)
     ).select("id", F.transform("vector", lambda x: x.cast("float") + F.lit(0.0).cast("float")).alias("vector"))  # + 0: -0 becomes 0
-    members = cut(usable.distinct().withColumn("class_key", F.xxhash64("vector")))
-    # One class a vector, named by a number: the order of its smallest id's hash is of no matter.
-    classes = members.groupBy("vector").agg(F.min("id").alias("first_id"), F.min("class_key").alias("class_key"))
-    classes = cut(classes.withColumn("class_id", F.xxhash64("first_id", "class_key")))
+    usable = usable.withColumn("hash", F.xxhash64("vector"))  # only leads sorts; classes are told apart by the vectors
+    classes = cut(usable.select("hash", "vector").distinct().withColumn("class_id", F.monotonically_increasing_id()))
+    members = cut(usable.join(classes, ["hash", "vector"]).select("id", "class_id").distinct())
     rows = classes.count()
+    block_rows = block_rows or max(1, BLOCK_BYTES // (4 * dim))
     parallel = points.sparkSession.sparkContext.defaultParallelism
-    blocks = max(1, -(-rows // block_rows), min(math.ceil(math.sqrt(2 * parallel)), -(-rows // 1_000)))
-    placed = classes.select("class_id", "vector", F.pmod("class_id", F.lit(blocks)).cast("int").alias("block"))
+    blocks = max(1, -(-rows // block_rows), min(math.ceil(math.sqrt(8 * parallel)), -(-rows // 1_000)))
+    placed = classes.select("class_id", "vector", F.pmod("hash", F.lit(blocks)).cast("int").alias("block"))
     every = F.sequence(F.lit(0), F.lit(blocks - 1))
-    left = placed.withColumn("other", F.explode(F.filter(every, lambda o: o >= F.col("block")))).withColumn("pair", F.col("block") * blocks + F.col("other"))
-    right = placed.withColumn("other", F.explode(F.filter(every, lambda o: o <= F.col("block")))).withColumn("pair", F.col("other") * blocks + F.col("block"))
+    left = placed.select(F.explode(F.filter(every, lambda o: o >= F.col("block"))).alias("other"), "*").select((F.col("block") * F.lit(blocks).cast("long") + F.col("other")).alias("pair"), "class_id", "vector")
+    right = placed.select(F.explode(F.filter(every, lambda o: o < F.col("block"))).alias("other"), "*").select((F.col("other") * F.lit(blocks).cast("long") + F.col("block")).alias("other_pair"), "class_id", "vector")
     least = -np.inf if min_similarity is None else float(min_similarity)
-    tasks = max(tasks_for_cpu(points.sparkSession), blocks * (blocks + 1))
+    tasks = min(MOST_TASKS, max(tasks_for_cpu(points.sparkSession), blocks * (blocks + 1)))
     found = (
-        left.select("pair", "block", "class_id", "vector")
-        .repartition(tasks, "pair")
+        left.repartition(tasks, "pair")
         .groupBy("pair")
-        .cogroup(right.select(F.col("pair").alias("other_pair"), "block", "class_id", "vector").repartition(tasks, "other_pair").groupBy("other_pair"))
-        .applyInArrow(_guarded(_block_join(dim, k, least)), "class_id bigint, partner bigint, similarity double")
+        .cogroup(right.repartition(tasks, "other_pair").groupBy("other_pair"))
+        .applyInArrow(_block_join(dim, k, least, blocks), "class_id bigint, partner bigint, similarity double")
     )
     order = Window.partitionBy("class_id").orderBy(F.desc("similarity"), "partner")
     top = found.withColumn("n", F.row_number().over(order)).where(F.col("n") <= k).select("class_id", "partner", "similarity")
-    return _to_ids(members, classes.select("vector", "class_id"), top, k, least)
-
-
-def _guarded(join):
-    def run(key, left: pa.Table, right: pa.Table) -> pa.Table:
-        if not left.num_rows or not right.num_rows:
-            return pa.table({"class_id": pa.array([], pa.int64()), "partner": pa.array([], pa.int64()), "similarity": pa.array([], pa.float64())})
-        return join(key, left, right)
-
-    return run
+    return _to_ids(members, top, k, least)
 
 
-def _to_ids(members: DataFrame, classes: DataFrame, top: DataFrame, k: int, least: float) -> DataFrame:
+def _to_ids(named: DataFrame, top: DataFrame, k: int, least: float) -> DataFrame:
     """Lists of classes as lists of ids."""
-    named = members.join(classes, "vector").select("id", "class_id")
     few = named.withColumn("n", F.row_number().over(Window.partitionBy("class_id").orderBy("id"))).where(F.col("n") <= k + 1).select("class_id", F.col("id").alias("neighbour"))
     own = few.withColumn("similarity", F.lit(1.0)) if least <= 1 else few.withColumn("similarity", F.lit(1.0)).limit(0)
     others = top.join(few.withColumnRenamed("class_id", "partner"), "partner").select("class_id", "neighbour", "similarity")
