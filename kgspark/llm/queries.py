@@ -149,7 +149,7 @@ def p8_found(spark: SparkSession, sf: str) -> DataFrame:
 def p8_items(spark: SparkSession, sf: str) -> DataFrame:
     """Each leaked test item and the number of documents that hold some of it."""
     found = leaked_items(_read(spark, sf, "documents"), _read(spark, sf, "eval_items"))
-    return found.groupBy("item_id").agg(F.count(F.lit(1)).alias("n_documents"), F.max("n_windows").alias("most_windows"))
+    return found.groupBy("item_id").agg(F.count(F.lit(1)).alias("n_documents"), F.max("n_windows").alias("most_windows"), F.round(F.max("containment"), 6).alias("most_contained"))
 
 
 def p9_found(spark: SparkSession, sf: str) -> DataFrame:
