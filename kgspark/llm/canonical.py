@@ -2,17 +2,19 @@
 
 All names and aliases are the patterns of one automaton; it reads the value's
 words and finds every pattern embedded in it, of which the longest without overlap
-count. Values in which nothing is found are compared with the patterns letter by
-letter without spaces, for joined and split words, and what is near none then as
-sets of words, each word by its edit distance, in whatever order. What is still
-near none is reported as unmatched.
+count. Values in which nothing is found are compared with the patterns as sets of
+words, by letters in common over letters in all, in whatever order. Words meet
+through an index of their segments, so that misspelt ones do too, as do words
+written together or apart. What is near no pattern is reported as unmatched.
 """
 
 from __future__ import annotations
 
+import functools
 import re
 import unicodedata
-from collections.abc import Iterator
+from collections import defaultdict
+from collections.abc import Iterable, Iterator
 
 import ahocorasick
 import pyarrow as pa
@@ -25,16 +27,14 @@ MAX_PATTERNS = 200_000
 _CACHE_VALUES = 500_000
 #: Least overlap of two sets of words: of any two, and where all words of the pattern are met.
 LEAST_OVERLAP, LEAST_OVERLAP_WHOLE = 0.6, 0.4
+#: Most words of a value that are read as one.
+_JOINED = 4
 
 _UNSEEN = re.compile("[­͏؜​-‏‪-‮⁠-⁯︀-️﻿̀-ͯ]+")
 _CAMEL = re.compile(r"(?<=[a-zà-ÿ])(?=[A-Z])")
 _RUN = re.compile(r"[^\W_]+")
 # Letters of other alphabets that look like Latin ones.
 _ALIKE = str.maketrans("аеорсухіјѕԁһԛԝвкмнтαοερνικτυχАВЕКМНОРСТУХІЈЅΑΒΕΖΗΙΚΜΝΟΡΤΥΧ", "aeopcyxijsdhqwbkmhtaoepvikтyxABEKMHOPCTYXIJSABEZHIKMNOPTYX")
-# Words around a type that are not part of it.
-NOISE = frozenset("a an the is was are be of type rel relation entity kind other guess passive active see note from text maybe probably".split())
-
-
 def words(value: str) -> list[str]:
     """Words of a value, without case, accents, look-alike letters and invisible characters."""
     v = unicodedata.normalize("NFKD", value)
@@ -66,6 +66,49 @@ def allowed_edits(length: int) -> int:
     return 0 if length < 3 else 1 if length < 7 else 2 if length < 16 else 3
 
 
+def _parts(length: int, pieces: int) -> list[tuple[int, int]]:
+    """Bounds of a word's segments, as even as they go."""
+    ends = [length * i // pieces for i in range(pieces + 1)]
+    return list(zip(ends, ends[1:]))
+
+
+class Segments:
+    """Words that lie within the edits allowed of a given one, by segments.
+
+    An edit touches at most two letters, so of 2k + 1 segments one stays whole under
+    k edits, moved by at most k places.
+    """
+
+    def __init__(self, known: Iterable[str]) -> None:
+        self.index: dict[tuple[int, int, str], list[str]] = defaultdict(list)
+        for w in known:
+            pieces = 2 * allowed_edits(len(w)) + 1
+            for i, (a, b) in enumerate(_parts(len(w), pieces)):
+                self.index[len(w), i, w[a:b]].append(w)
+        self.lengths = {n for n, _, _ in self.index}
+        self._near = functools.lru_cache(maxsize=100_000)(self._search)
+
+    def near(self, word: str) -> dict[str, int]:
+        """Known words within the edits allowed for both, with their distances."""
+        return self._near(word)
+
+    def _search(self, word: str) -> dict[str, int]:
+        found, limit = {}, allowed_edits(len(word))
+        for size in range(len(word) - limit, len(word) + limit + 1):
+            if size not in self.lengths:
+                continue
+            most = min(limit, allowed_edits(size))
+            candidates: set[str] = set()
+            for i, (a, b) in enumerate(_parts(size, 2 * allowed_edits(size) + 1)):
+                for shift in range(-most, most + 1):
+                    if 0 <= a + shift and b + shift <= len(word):
+                        candidates.update(self.index.get((size, i, word[a + shift : b + shift]), ()))
+            for w in candidates:
+                if (d := edits(word, w, most)) <= most:
+                    found[w] = d
+        return found
+
+
 class Canonical:
     """A reference list, ready to look values up."""
 
@@ -76,20 +119,14 @@ class Canonical:
             w = words(spelling)
             if w:
                 self.patterns.setdefault(" ".join(w), name)
-        self.joined: dict[str, str] = {}
-        for p, name in self.patterns.items():
-            self.joined.setdefault(p.replace(" ", ""), name)
-        self.by_size: dict[int, list[str]] = {}
-        for p in self.joined:
-            self.by_size.setdefault(len(p), []).append(p)
-        self.word_sets = {p: frozenset(p.split()) for p in self.patterns}
-        self.with_word: dict[str, list[str]] = {}
-        for p, ws in self.word_sets.items():
-            for w in ws:
-                self.with_word.setdefault(w, []).append(p)
-        self.words_by_size: dict[int, list[str]] = {}
-        for w in self.with_word:
-            self.words_by_size.setdefault(len(w), []).append(w)
+        self.words_of = {p: p.split() for p in self.patterns}
+        # Inverted index: each run of a pattern's words, written as one word, and the places it comes from.
+        self.places: dict[str, list[tuple[str, int, int]]] = defaultdict(list)
+        for p, ws in self.words_of.items():
+            for i in range(len(ws)):
+                for j in range(i + 1, len(ws) + 1):
+                    self.places["".join(ws[i:j])].append((p, i, j))
+        self.segments = Segments(self.places)
         self.automaton = ahocorasick.Automaton()
         for p in self.patterns:
             self.automaton.add_word(f" {p} ", p)
@@ -109,61 +146,43 @@ class Canonical:
         return [self.patterns[p] for _, _, p in sorted(taken)]
 
     def similar(self, tokens: list[str]) -> str | None:
-        """The name whose pattern is nearest, without spaces or else as a set of words; None if none is near or two names tie."""
-        core = [t for t in tokens if t not in NOISE]
-        best: dict[str, float] = {}
-        for form in dict.fromkeys(("".join(core), "".join(tokens))):
-            if not form:
-                continue
-            singular = form[:-1] if form.endswith("s") and len(form) > 4 else form
-            if (name := self.joined.get(form) or self.joined.get(singular)) is not None:
-                return name
-            limit = allowed_edits(len(form))
-            for size in range(len(form) - limit, len(form) + limit + 1):
-                for p in self.by_size.get(size, ()):
-                    most = min(limit, allowed_edits(len(p)))
-                    d = edits(form, p, most)
-                    if d <= most:
-                        name = self.joined[p]
-                        best[name] = min(best.get(name, 9), d / max(len(form), len(p)))
-        if not best:
-            return self.overlapping(tokens)
-        (name, d), *rest = sorted(best.items(), key=lambda x: (x[1], x[0]))
-        return None if rest and rest[0][1] == d else name
-
-    def near_words(self, word: str) -> dict[str, int]:
-        """Words of patterns within the edits allowed, with their distances."""
-        near, limit = {}, allowed_edits(len(word))
-        for size in range(len(word) - limit, len(word) + limit + 1):
-            most = min(limit, allowed_edits(size))
-            for w in self.words_by_size.get(size, ()):
-                if (d := edits(word, w, most)) <= most:
-                    near[w] = d
-        return near
+        """The name whose pattern's words overlap most with the value's; None if too little or two names tie.
 
-    def overlapping(self, tokens: list[str]) -> str | None:
-        """The name whose pattern's words overlap most with the value's, over the union of both; None if too little or two names tie.
-
-        Each word is met by at most one, the nearest first, and counts less by its share of edits. NOISE that meets nothing does not count.
+        The overlap is the letters of the words that meet, less their share of edits, over the letters
+        of all words of both. Each word is met once, the nearest first.
         """
-        near = {t: self.near_words(t) for t in set(tokens)}
+        meetings: dict[str, list[tuple]] = defaultdict(list)
+        for i in range(len(tokens)):
+            for j in range(i + 1, min(len(tokens), i + _JOINED) + 1):
+                joined = "".join(tokens[i:j])
+                for unit, d in self.segments.near(joined).items():
+                    for p, x, y in self.places[unit]:
+                        meetings[p].append((d / max(len(joined), len(unit)), -len(unit), i, j, x, y))
         best: dict[str, float] = {}
-        for p in {p for ws in near.values() for w in ws for p in self.with_word[w]}:
-            met: dict[str, str] = {}
-            weight = 0.0
-            for d, t, w in sorted((near[t][w], t, w) for t in near for w in self.word_sets[p] & near[t].keys()):
-                if t not in met and w not in met.values():
-                    met[t] = w
-                    weight += 1 - d / max(len(t), len(w))
-            missing = len(self.word_sets[p]) - len(met)
-            overlap = weight / (len(met) + missing + sum(t not in met and t not in NOISE for t in near))
-            if overlap > (LEAST_OVERLAP if missing else LEAST_OVERLAP_WHOLE):
+        for p, found in meetings.items():
+            # The nearest first, or the longest first: words written together may be nearer apart and the other way round.
+            overlap, whole = max(self._overlap(tokens, self.words_of[p], sorted(found)), self._overlap(tokens, self.words_of[p], sorted(found, key=lambda m: (m[1], *m))))
+            if overlap > (LEAST_OVERLAP_WHOLE if whole else LEAST_OVERLAP):
                 name = self.patterns[p]
                 best[name] = max(best.get(name, 0.0), overlap)
         most = max(best.values(), default=0.0)
         names = [n for n, o in best.items() if most - o < 1e-9]
         return names[0] if len(names) == 1 else None
 
+    @staticmethod
+    def _overlap(tokens: list[str], pattern: list[str], meetings: list[tuple]) -> tuple[float, bool]:
+        """Overlap when words meet in the order given, and whether all words of the pattern meet one."""
+        ours: set[int] = set()
+        theirs: set[int] = set()
+        weight = 0.0
+        for share, size, i, j, x, y in meetings:
+            if ours.isdisjoint(range(i, j)) and theirs.isdisjoint(range(x, y)):
+                ours.update(range(i, j))
+                theirs.update(range(x, y))
+                weight -= size * (1 - share)
+        extra = sum(len(t) for i, t in enumerate(tokens) if i not in ours)
+        return weight / (sum(map(len, pattern)) + extra), len(theirs) == len(pattern)
+
     def find(self, value: str) -> str:
         """The name a value stands for, or UNMATCHED."""
         tokens = words(value)
@@ -179,15 +198,17 @@ def _mapper(entries: list[tuple[str, str]], own: frozenset[str]):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         known, index = {}, Canonical(entries)
         for b in batches:
-            out = []
-            for v in b.column("value").to_pylist():
+            values = b.column("value").dictionary_encode()  # each spelling is looked up once
+            names = []
+            for v in values.dictionary.to_pylist():
                 name = known.get(v)
                 if name is None:
                     if len(known) >= _CACHE_VALUES:
                         known.clear()
                     name = known[v] = v if v in own else index.find(v)
-                out.append(name)
-            yield pa.RecordBatch.from_arrays([b.column("row_id"), b.column("value"), pa.array(out, pa.string())], names=["row_id", "value", "canonical_name"])
+                names.append(name)
+            canonical = pa.array(names, pa.string()).take(values.indices)
+            yield pa.RecordBatch.from_arrays([b.column("row_id"), b.column("value"), canonical], names=["row_id", "value", "canonical_name"])
 
     return run
 
