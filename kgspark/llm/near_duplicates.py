@@ -28,6 +28,7 @@ from kgspark.storage import cut
 
 _WORD = re.compile(r"[^\W_]+")
 _CACHE_WORDS = 500_000
+_KEY = ("key_1", "key_2")  # 128 bits of hash that stand for a text
 #: Members of a shard that one tree holds; larger shards are cut into blocks, each searched in the trees of all.
 SHARD_MEMBERS = 20_000
 
@@ -121,13 +122,12 @@ def _sketch(spec: NearDuplicateSpec):
             n = len(usable)
             yield pa.RecordBatch.from_arrays(
                 [
-                    b.column("text_id").take(pa.array(usable)),
-                    b.column("text_key").take(pa.array(usable)),
                     b.column("node").take(pa.array(usable)),
+                    *(b.column(c).take(pa.array(usable)) for c in _KEY),
                     pa.Array.from_buffers(pa.binary(spec.positions), n, [None, pa.py_buffer(print_.tobytes())]).cast(pa.binary()),
                     pa.ListArray.from_arrays(pa.array(np.arange(n + 1, dtype=np.int32) * spec.bands), pa.array(shard.ravel())),
                 ],
-                names=["text_id", "text_key", "node", "fingerprint", "shards"],
+                names=["node", *_KEY, "fingerprint", "shards"],
             )
 
     return sketch
@@ -261,19 +261,19 @@ def _verify(spec: NearDuplicateSpec):
 
 
 def near_duplicate_links(texts: DataFrame, spec: NearDuplicateSpec = NearDuplicateSpec(), shard_members: int = SHARD_MEMBERS) -> tuple[DataFrame, DataFrame]:
-    """Links between different texts that are alike, and the texts they are between.
+    """Links between different texts that are alike, and which text each row has.
 
-    ``texts(node, text_id, text)`` with a unique bigint node for each row. Rows that
-    hold the same text under the same text_id are one text, named by its smallest
-    node. Two texts are alike if their sets of ``spec.words`` consecutive words
+    ``texts(node, text_id, text)`` with a unique bigint node for each row. Rows of equal
+    text are one class, named by its smallest node and compared once, however many there are. Two texts are alike if their sets of ``spec.words`` consecutive words
     (runs of letters and digits, lower-cased) share at least ``spec.threshold`` of
-    their union. Returns ``(links(a, b), members(node, text_id))``, a < b, each link
-    once. Null and empty texts and texts of fewer words have no shingles and so no
-    links. Rows without node are ignored; extra columns too.
+    their union. Returns ``(links(a, b), members(node, text_id))``: links between classes, a < b, each
+    once, and the different text_ids of each class. Null and empty texts and texts of fewer words have no shingles and so
+    are in neither. Rows without node are ignored; extra columns too.
     """
-    rows = texts.where(F.col("node").isNotNull() & F.col("text").isNotNull()).select("node", "text_id", "text", F.xxhash64("text").alias("text_key"))
-    sketches = rows.mapInArrow(_sketch(spec), "text_id string, text_key bigint, node bigint, fingerprint binary, shards array<bigint>")
-    one = cut(sketches.groupBy("text_id", "text_key").agg(F.min("node").alias("node"), F.first("fingerprint").alias("fingerprint"), F.first("shards").alias("shards")))
+    rows = texts.where(F.col("node").isNotNull() & F.col("text").isNotNull()).select("node", "text_id", "text", F.xxhash64("text").alias("key_1"), F.xxhash64(F.lit(1), "text").alias("key_2"))
+    sketches = rows.mapInArrow(_sketch(spec), "node bigint, key_1 bigint, key_2 bigint, fingerprint binary, shards array<bigint>")
+    one = cut(sketches.groupBy(*_KEY).agg(F.min("node").alias("node"), F.first("fingerprint").alias("fingerprint"), F.first("shards").alias("shards")))
+    members = rows.select(*_KEY, "text_id").distinct().join(one.select(*_KEY, "node"), list(_KEY)).select("node", "text_id")
     sharded = one.select("node", "fingerprint", F.explode("shards").alias("shard"))
     in_order = sharded.repartition("shard").sortWithinPartitions("shard")
     found = cut(in_order.mapInArrow(_shard_pairs(spec, shard_members), "a bigint, b bigint").distinct())
@@ -287,14 +287,24 @@ def near_duplicate_links(texts: DataFrame, spec: NearDuplicateSpec = NearDuplica
         .join(content.select(F.col("node").alias("b"), F.col("text").alias("text_b")), "b")
         .select("a", "b", "text_a", "text_b")
     )
-    return cut(pairs.mapInArrow(_verify(spec), "a bigint, b bigint")), one.select("node", "text_id")
+    return cut(pairs.mapInArrow(_verify(spec), "a bigint, b bigint")), members
 
 
 def near_duplicate_groups(texts: DataFrame, spec: NearDuplicateSpec = NearDuplicateSpec()) -> DataFrame:
-    """``(text_id, group_id, n_links)`` for each text that has a link; see near_duplicate_links."""
+    """``(text_id, group_id, n_links)`` for each text that another text_id has too or has one like it; see near_duplicate_links.
+
+    n_links counts text_ids of equal and of alike texts. A text_id with several texts gives a row for each.
+    """
     links, members = near_duplicate_links(texts, spec)
-    degree = links.select(F.explode(F.array("a", "b")).alias("node")).groupBy("node").count()
+    members = cut(members)
+    sizes = members.groupBy("node").agg(F.count(F.lit(1)).alias("n"))
+    both = links.unionByName(links.select(F.col("b").alias("a"), F.col("a").alias("b")))
+    degree = both.join(sizes, both["b"] == sizes["node"]).groupBy(F.col("a").alias("node")).agg(F.sum("n").alias("alike"))
     groups = connected_components(links)
-    return (
-        groups.join(degree, "node").join(members, "node").select("text_id", F.col("component").alias("group_id"), F.col("count").alias("n_links"))
+    classes = (
+        sizes.join(degree, "node", "left")
+        .join(groups, "node", "left")
+        .select("node", F.coalesce("component", "node").alias("group_id"), (F.coalesce("alike", F.lit(0)) + F.col("n") - 1).alias("n_links"))
+        .where("n_links > 0")
     )
+    return members.join(classes, "node").select("text_id", "group_id", "n_links")

@@ -37,13 +37,13 @@ def frame(spark, texts):
 
 
 def test_links_equal_brute_force(spark):
-    texts = corpus()
+    texts = list(dict.fromkeys(corpus()))
     links, _ = near_duplicate_links(frame(spark, texts), SPEC)
     assert {(r["a"], r["b"]) for r in links.collect()} == brute(texts)
 
 
 def test_large_shards_give_the_same(spark):
-    texts = corpus(n=1, copies=40, seed=5) + corpus(n=4, copies=3, seed=6)
+    texts = list(dict.fromkeys(corpus(n=1, copies=40, seed=5) + corpus(n=4, copies=3, seed=6)))
     links, _ = near_duplicate_links(frame(spark, texts), SPEC, shard_members=7)
     assert {(r["a"], r["b"]) for r in links.collect()} == brute(texts)
 
@@ -65,5 +65,15 @@ def test_copies_nulls_and_empty(spark):
     assert near_duplicate_groups(df.limit(0), SPEC).count() == 0
 
 
+def test_equal_texts_are_one_class_compared_once(spark):
+    base = " ".join(WORDS[:50])
+    rows = [(i, f"t{i}", base) for i in range(300)] + [(300, "u", base + " more"), (301, "v", "a b c d"), (302, "w", "a b c d"), (303, "x", " ".join(WORDS[100:150]))]
+    df = spark.createDataFrame(rows, "node long, text_id string, text string")
+    links, _ = near_duplicate_links(df, SPEC)
+    assert [(r["a"], r["b"]) for r in links.collect()] == [(0, 300)]
+    got = {r["text_id"]: (r["group_id"], r["n_links"]) for r in near_duplicate_groups(df, SPEC).collect()}
+    assert got == {**{f"t{i}": (0, 300) for i in range(300)}, "u": (0, 300), "v": (301, 1), "w": (301, 1)}
+
+
 def test_default_is_five_words_and_four_fifths():
     assert (NearDuplicateSpec().words, NearDuplicateSpec().threshold) == (5, 0.8)
