@@ -10,9 +10,11 @@ nickname of several names, or no given name are linked where just one bearer fit
 
 from __future__ import annotations
 
+import functools
 import re
 import unicodedata
-from collections.abc import Iterator
+from bisect import bisect_left
+from collections.abc import Collection, Iterator
 from typing import NamedTuple
 
 import pyarrow as pa
@@ -25,21 +27,21 @@ from kgspark.storage import at_most, cut, tasks_for_cpu
 
 #: Strings in one trie; larger shards are split into several, each walked by all that fit the shard.
 TRIE_STRINGS = 20_000
-#: A first word of this many different names is a given name.
-GIVEN_NAMES_FROM = 12
-#: Learned words that are sent to the tasks; more are refused.
-MAX_GIVEN, MAX_KINDS = 20_000, 2_000
+#: A first word stands before so many times more different words than those stand behind, if it is a given name.
+GIVEN_NAMES_RATIO = 3
+#: Learned words that are sent to the tasks, some tens of bytes each; more are refused.
+MAX_GIVEN, MAX_KINDS = 500_000, 200_000
 
 # Given names by which short forms are understood.
 _SHORT = """
-alexander: alex sasha sandy alec | alexandra: sasha alex sandra lexi | agnes: aggie | anthony: tony | benjamin: ben benny benji | bruno: | catherine: cathy kate kitty
-charles: charlie chuck chas | christopher: chris kit topher | cyril: cy | daniel: dan danny | david: dave | dorothea: dora dolly thea dory | dunja: | edward: ed eddie ned ted teddy
-ekaterina: katya katia kate | elizabeth: betty liz lizzie beth eliza lisa | farid: | francisco: paco pancho frank cisco | george: georgie | greta: | guadalupe: lupe lupita
-henrietta: etta hettie hetty | henry: harry hank | hugo: | ignacio: nacho iggy | ines: | james: jim jimmy | johannes: hannes hans jo | john: jack johnny | jonas: | joseph: joe
-josephine: josie jo fifi | katharina: kathi kit katya käthe | klaus: | leonard: len lenny leo | lidia: lida | margaret: peggy meg maggie | maria: mary mia | michael: mike mick | mikhail: misha
-nikolai: kolya nick niko | noel: | odile: | oskar: ossi | patricia: pat patty trish tricia | peter: pete | pilar: pili | quentin: quin | richard: dick rick richie | robert: bob rob bobby bert
+alexander: alex sasha sandy alec | alexandra: sasha alex sandra lexi | agnes: aggie | anthony: tony | benjamin: ben benny benji | catherine: cathy kate kitty
+charles: charlie chuck chas | christopher: chris kit topher | cyril: cy | daniel: dan danny | david: dave | dorothea: dora dolly thea dory | edward: ed eddie ned ted teddy
+ekaterina: katya katia kate | elizabeth: betty liz lizzie beth eliza lisa | francisco: paco pancho frank cisco | george: georgie | guadalupe: lupe lupita
+henrietta: etta hettie hetty | henry: harry hank | ignacio: nacho iggy | james: jim jimmy | johannes: hannes hans jo | john: jack johnny | joseph: joe
+josephine: josie jo fifi | katharina: kathi kit katya käthe | leonard: len lenny leo | lidia: lida | margaret: peggy meg maggie | maria: mary mia | michael: mike mick | mikhail: misha
+nikolai: kolya nick niko | oskar: ossi | patricia: pat patty trish tricia | peter: pete | pilar: pili | quentin: quin | richard: dick rick richie | robert: bob rob bobby bert
 rosa: rosie rosita | samuel: sam sammy | simon: si | stephen: steve | susan: sue | tamar: tammy | theodor: ted teddy theo | thomas: tom | ulrich: uli ulli | ursula: uschi ulla | vera: verochka
-vladimir: volodya vova | wanda: | william: bill will billy liam | xenia: ksenia | yara: | zachary: zack zach zac
+vladimir: volodya vova | william: bill will billy liam | xenia: ksenia | zachary: zack zach zac
 """
 SHORT_FORMS: dict[str, set[str]] = {}
 GIVEN: set[str] = set()
@@ -53,7 +55,6 @@ for _entry in _SHORT.replace("\n", "|").split("|"):
 TITLES = frozenset("mr mrs ms miss mme mlle dr prof professor capt captain herr frau senor senora senorita don dona sr sra sir dame lady lord rev col gen st late the somebody".split())
 DEGREES = frozenset("msc phd md ba ma bsc mba esq dds llm llb".split())
 FORMS = frozenset("ltd inc gmbh co llc plc ag sa sarl bv corp kg oy limited incorporated".split())
-NOT_ORGANISATIONS = frozenset("water light pass star gale harbour feast yard codex island treaty river canal".split())
 _SMALL = frozenset("of the and de la du der von & for".split())
 
 # Cyrillic letters as the Latin letters they are written for, and look-alikes of Latin letters.
@@ -73,10 +74,13 @@ _DOTTED = re.compile(r"\b((?:[^\W\d_]\.){2,})")
 
 def _bare(text: str) -> str:
     """Text without accents and invisible characters; digits inside words as the letters they look like."""
+    if text.isascii():
+        return _DIGIT_INSIDE.sub(lambda m: _DIGITS[m.group()], text)
     t = "".join(c for c in unicodedata.normalize("NFKD", text) if not unicodedata.combining(c) and unicodedata.category(c) != "Cf")
     return _DIGIT_INSIDE.sub(lambda m: _DIGITS[m.group()], t)
 
 
+@functools.lru_cache(maxsize=200_000)
 def fold(word: str) -> str:
     """A word as it sounds across alphabets: without case, accents, look-alikes, and with c = ch = q = k, y = j = i, x = ks, w = v."""
     w = _bare(word).casefold()
@@ -98,15 +102,76 @@ def initials_of(letter: str, latin: bool) -> str:
     return _SPOKEN.get(c) or (_CYRILLIC.get(c) or c)[:1]
 
 
-class Lexicon(NamedTuple):
-    """Given names and kinds of organisations, folded; kinds as tuples of words, short ones mapped to their full form.
+class Kinds:
+    """Kinds of organisations as tuples of words, short ones mapped to their full form; of things that are none, too."""
+
+    def __init__(self) -> None:
+        self.full: dict[tuple[str, ...], tuple[str, ...]] = {}
+        self.things: set[tuple[str, ...]] = set()
+        self.by_first: dict[int, dict[str, list[tuple[str, ...]]]] = {}
+        self._begins: dict[tuple[int, str, bool], list[str]] = {}
+
+    def add(self, phrase: tuple[str, ...], thing: bool) -> None:
+        """Phrases come in order of their frequency, so a short form finds its full one."""
+        fulls = dict.fromkeys(self.full[p] for p in self.candidates([(w, False) for w in phrase]))
+        full = next((f for f in fulls if all(_shortens(w, g, False) for w, g in zip(phrase, f))), phrase)
+        self.full[phrase] = full
+        if thing and full == phrase:
+            self.things.add(full)
+        firsts = self.by_first.setdefault(len(phrase), {})
+        if phrase[0] not in firsts:
+            for (size, short, dotted), known in self._begins.items():
+                if size == len(phrase) and _shortens(short, phrase[0], dotted):
+                    known.append(phrase[0])
+        firsts.setdefault(phrase[0], []).append(phrase)
+
+    def candidates(self, words: list[tuple[str, bool]]) -> Iterator[tuple[str, ...]]:
+        """Phrases of as many words whose first word the first one may be written for."""
+        firsts, key = self.by_first.get(len(words), {}), (len(words), *words[0])
+        begins = self._begins.get(key)
+        if begins is None:
+            if len(self._begins) > 100_000:
+                self._begins.clear()
+            begins = self._begins[key] = [f for f in firsts if _shortens(words[0][0], f, words[0][1])]
+        for f in begins:
+            yield from firsts[f]
+
+    def find(self, words: list[tuple[str, bool]]) -> tuple[str, ...] | None:
+        """The full kind that the words are, or are the only one to be short for."""
+        exact = self.full.get(tuple(w for w, _ in words))
+        if exact:
+            return exact
+        fits = {self.full[p] for p in self.candidates(words) if all(_shortens(w, f, dot) for (w, dot), f in zip(words, p))}
+        return fits.pop() if len(fits) == 1 else None
+
+
+class Lexicon:
+    """Given names, their short forms and kinds of organisations, all folded.
 
     ``given`` maps to the first letter of the name as it is spelt.
     """
 
-    given: dict[str, str]
-    short: dict[str, frozenset[str]]
-    kinds: dict[tuple[str, ...], tuple[str, ...]]
+    def __init__(self, given: dict[str, str], short: dict[str, frozenset[str]], kinds: Kinds) -> None:
+        self.given, self.short, self.kinds = given, short, kinds
+        self.in_order = sorted(given)
+        self.trie = Trie(self.in_order)
+        self.near = functools.lru_cache(maxsize=100_000)(self._near)
+
+    def beginning(self, word: str) -> frozenset[str]:
+        """Given names that begin with a word."""
+        at = bisect_left(self.in_order, word)
+        end = at
+        while end < len(self.in_order) and self.in_order[end].startswith(word):
+            end += 1
+        return frozenset(self.in_order[at:end])
+
+    def _near(self, word: str) -> frozenset[str]:
+        """Given names nearest to a misspelt one."""
+        if len(word) < 4:
+            return frozenset()
+        near = {g: d for g, d in self.trie.within(word, 2) if d <= (1 if len(g) < 6 else 2)}
+        least = min(near.values(), default=0)
+        return frozenset(g for g, d in near.items() if d == least)
 
 
 class Reading(NamedTuple):
@@ -133,14 +198,6 @@ def _shortens(short: str, full: str, dotted: bool) -> bool:
     return all(c in rest for c in short)
 
 
-def _kind(words: list[tuple[str, bool]], lexicon: Lexicon) -> tuple[str, ...] | None:
-    plain = tuple(w for w, _ in words)
-    if plain in lexicon.kinds:
-        return lexicon.kinds[plain]
-    fits = {full for phrase, full in lexicon.kinds.items() if len(phrase) == len(plain) and all(_shortens(w, f, dot) for (w, dot), f in zip(words, phrase))}
-    return fits.pop() if len(fits) == 1 else None
-
-
 def _organisation(tokens: list[tuple[str, bool]], number: str, lexicon: Lexicon) -> Reading | None:
     """The reading as an organisation: a known kind at the end or the beginning, the own words besides."""
     words = [(w, dot) for w, dot in tokens if w not in _FOLDED_SMALL]
@@ -153,7 +210,7 @@ def _organisation(tokens: list[tuple[str, bool]], number: str, lexicon: Lexicon)
             for own, kind in ((these[:-size], these[-size:]), (these[size:], these[:size])):
                 if size == 1 and (len(kind[0][0]) < 3 or kind[0][0] in _SPOKEN.values() or len(own) > 2):
                     continue
-                found = _kind(kind, lexicon)
+                found = lexicon.kinds.find(kind)
                 own = [w for w, _ in own if w not in _FOLDED_FORMS]
                 if found and own and max(map(len, own)) > 3:
                     return Reading(f"O|{' '.join(found)}|{number}", "".join(own), "full")
@@ -167,18 +224,10 @@ def _given(word: str, dotted: bool, lexicon: Lexicon) -> frozenset[str]:
     if word in lexicon.short:
         return lexicon.short[word]
     if dotted and len(word) > 1:
-        return frozenset(g for g in lexicon.given if g.startswith(word))
+        return lexicon.beginning(word)
     return frozenset()
 
 
-def _near_given(word: str, lexicon: Lexicon) -> frozenset[str]:
-    if len(word) < 4:
-        return frozenset()
-    near = {g: d for g in lexicon.given if abs(len(g) - len(word)) < 3 and (d := edits(word, g, 2)) <= (1 if len(g) < 6 else 2)}
-    least = min(near.values(), default=0)
-    return frozenset(g for g, d in near.items() if d == least)
-
-
 def read_name(name: str, lexicon: Lexicon) -> list[Reading]:
     """Readings of a name; several if it is not known which word is which."""
     text = _bare(name)
@@ -218,7 +267,7 @@ def read_name(name: str, lexicon: Lexicon) -> list[Reading]:
             shortened = tokens
         found = _organisation(shortened, number, lexicon)
         if found:
-            return [found] if not _FOLDED_PLACES & set(found.grp.split("|")[1].split()) else []
+            return [found] if tuple(found.grp.split("|")[1].split()) not in lexicon.kinds.things else []
     return _person(tokens, places, text, owned, lexicon)
 
 
@@ -243,7 +292,7 @@ def _person(tokens: list[tuple[str, bool]], places: list[int], text: str, owned:
     options = [(w, _given(w, dot, lexicon)) for w, dot, _ in long]
     given = [i for i, (_, g) in enumerate(options) if g]
     if not given:
-        options = [(w, g or _near_given(w, lexicon)) for w, g in options]
+        options = [(w, g or lexicon.near(w)) for w, g in options]
         given = [i for i, (_, g) in enumerate(options) if g]
     if len(given) == len(long):  # a family name that is also a given name
         before_comma = [i for i, (_, _, p) in enumerate(long) if 0 <= comma and p < comma]
@@ -267,7 +316,6 @@ _FOLDED_SMALL = frozenset(map(fold, _SMALL))
 _FOLDED_FORMS = frozenset(map(fold, FORMS)) | {"s", "sc", "a"}
 #: Forms that may also be short for a word of a kind, as in "Savings Co.".
 _SHORTENING_FORMS = frozenset(map(fold, ("co", "corp"))) | {"s", "sc", "a"}
-_FOLDED_PLACES = frozenset(map(fold, NOT_ORGANISATIONS))
 _FOLDED_TITLES = frozenset(map(fold, TITLES))
 _FOLDED_DEGREES = frozenset(map(fold, DEGREES))
 
@@ -278,16 +326,31 @@ def _plain_words(name: str) -> list[str]:
     return t if 2 <= len(t) <= 4 and all(re.fullmatch(r"[^\W\d_]{2,}", w) for w in t) else []
 
 
-def _ends(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+def _two_words(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     """First and last words of two-word names, with the first one's first letter."""
     for b in batches:
         rows = []
         for name in b.column("name").to_pylist():
             t = _plain_words(name)
-            if len(t) == 2:
-                rows += [("first", fold(t[0]), t[0][0].lower()), ("last", fold(t[1]), "")]
+            if len(t) == 2 and fold(t[0]) not in _FOLDED_TITLES:
+                rows.append((fold(t[0]), fold(t[1]), t[0][0].lower()))
         cols = list(zip(*rows)) or [()] * 3
-        yield pa.RecordBatch.from_arrays([pa.array(c, pa.string()) for c in cols], names=["role", "words", "letter"])
+        yield pa.RecordBatch.from_arrays([pa.array(c, pa.string()) for c in cols], names=["first", "last", "letter"])
+
+
+def _given_names(names: DataFrame) -> DataFrame:
+    """``(word, letter)`` of the words that are given names.
+
+    A given name stands before more family names than a family name has given names;
+    an organisation's own word stands before fewer kinds than a kind has own words.
+    So only comparisons within the names count.
+    """
+    pairs = cut(names.mapInArrow(_two_words, "first string, last string, letter string").groupBy("first", "last").agg(F.min("letter").alias("letter")))
+    behind = pairs.groupBy("last").agg(F.count(F.lit(1)).alias("behind"))
+    first = pairs.join(behind, "last").groupBy("first").agg(F.count(F.lit(1)).alias("n"), F.avg("behind").alias("behind"), F.min("letter").alias("letter"))
+    last = behind.select(F.col("last").alias("first"), F.col("behind").alias("as_last"))
+    kept = first.where(F.col("n") > GIVEN_NAMES_RATIO * F.col("behind")).join(last, "first", "left").where("n > 3 * coalesce(as_last, 0)")
+    return kept.select(F.col("first").alias("word"), "letter")
 
 
 def _phrases(people: frozenset[str]):
@@ -296,54 +359,59 @@ def _phrases(people: frozenset[str]):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
             out = []
-            for name in b.column("name").to_pylist():
+            for name, agents, typed in zip(*(b.column(c).to_pylist() for c in ("name", "agents", "typed"))):
                 t = [w for w in map(fold, _plain_words(name)) if w not in _FOLDED_SMALL and w not in _FOLDED_FORMS]
                 if len(t) > 1 and len(t[0]) > 3 and t[0] not in _FOLDED_TITLES:
-                    out.append((t[0], " ".join(t[1:]), not people.isdisjoint(t)))
-            cols = list(zip(*out)) or [()] * 3
-            yield pa.RecordBatch.from_arrays([pa.array(cols[0], pa.string()), pa.array(cols[1], pa.string()), pa.array(cols[2], pa.bool_())], names=["own", "words", "person"])
+                    out.append((t[0], " ".join(t[1:]), not people.isdisjoint(t), agents, typed))
+            cols = list(zip(*out)) or [()] * 5
+            kinds = (pa.string(), pa.string(), pa.bool_(), pa.int64(), pa.int64())
+            yield pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(cols, kinds)], names=["own", "words", "person", "agents", "typed"])
 
     return run
 
 
 def _kind_phrases(names: DataFrame, people: frozenset[str]) -> DataFrame:
-    """``(words, count)`` of the phrases that are kinds of organisations, in the names given.
+    """``(words, count, thing)`` of the phrases that are kinds of organisations, in the names given; thing if most names with it are typed as something else.
 
     A kind is shared by own words that are no spellings of one another, by more of
     them than there are phrases after each on average (a family name has fewer given
     names than these have family names), and by more than it has given names. These
     are comparisons within the names, so more names of the same sort change nothing.
     """
-    pairs = cut(names.mapInArrow(_phrases(people), "own string, words string, person boolean").distinct())
+    read = names.mapInArrow(_phrases(people), "own string, words string, person boolean, agents bigint, typed bigint")
+    pairs = cut(read.groupBy("own", "words", "person").agg(F.sum("agents").alias("agents"), F.sum("typed").alias("typed")))
     others = pairs.where("NOT person").groupBy("own").agg(F.count(F.lit(1)).alias("phrases"))
     shared = pairs.where("NOT person").join(others, "own").groupBy("words").agg(
-        F.count(F.lit(1)).alias("count"), F.avg("phrases").alias("phrases"), F.min("own").alias("low"), F.max("own").alias("high")
+        F.count(F.lit(1)).alias("count"), F.avg("phrases").alias("phrases"), F.min("own").alias("low"), F.max("own").alias("high"),
+        (2 * F.sum("agents") < F.sum("typed")).alias("thing"),
     )
     persons = pairs.where("person").groupBy("words").agg(F.count(F.lit(1)).alias("persons"))
     unlike = 2 * F.levenshtein("low", "high") > F.greatest(F.length("low"), F.length("high"))
-    return shared.where(unlike & (F.col("count") > F.col("phrases"))).join(persons, "words", "left").where("count > coalesce(persons, 0)").select("words", "count")
+    return shared.where(unlike & (F.col("count") > F.col("phrases"))).join(persons, "words", "left").where("count > coalesce(persons, 0)").select("words", "count", "thing")
 
 
-def learn(names: DataFrame) -> Lexicon:
-    """Given names and kinds that the names themselves show, with the fixed ones."""
-    counts = cut(names.mapInArrow(_ends, "role string, words string, letter string").groupBy("role", "words").agg(F.count(F.lit(1)).alias("n"), F.min("letter").alias("letter")).where(F.col("n") >= GIVEN_NAMES_FROM))
-    last = counts.where("role = 'last'").select("words", F.col("n").alias("last"))
-    first = counts.where("role = 'first'").join(last, "words", "left").where("n > 3 * coalesce(last, 0)")
+def learn(names: DataFrame) -> tuple[dict[str, str], dict[str, frozenset[str]], list[tuple[str, bool]]]:
+    """Given names and kinds that the names themselves show, with the given names that have known short forms."""
     short = {fold(k): frozenset(map(fold, v)) for k, v in SHORT_FORMS.items()}
     given = {fold(g): g[0] for g in sorted(GIVEN)}
-    for w, letter in at_most(first.orderBy(F.desc("n"), "words").select("words", "letter"), MAX_GIVEN, "given names"):
+    for w, letter in at_most(_given_names(names), MAX_GIVEN, "given names"):
         if w not in short:
             given.setdefault(w, letter)
     phrases = _kind_phrases(names, frozenset({*given, *short}))
-    kinds: dict[tuple[str, ...], tuple[str, ...]] = {}
-    for (phrase,) in at_most(phrases.orderBy(F.desc("count"), "words").select("words"), MAX_KINDS, "kinds of organisations"):
-        words = tuple(phrase.split())
-        kinds[words] = next((f for f in dict.fromkeys(kinds.values()) if len(f) == len(words) and all(_shortens(w, g, False) for w, g in zip(words, f))), words)
+    kinds = [tuple(r) for r in at_most(phrases.orderBy(F.desc("count"), "words").select("words", "thing"), MAX_KINDS, "kinds of organisations")]
+    return given, short, kinds
+
+
+def lexicon_of(given: dict[str, str], short: dict[str, frozenset[str]], phrases: list[tuple[str, bool]]) -> Lexicon:
+    kinds = Kinds()
+    for phrase, thing in phrases:
+        kinds.add(tuple(phrase.split()), thing)
     return Lexicon(given, short, kinds)
 
 
-def _reader(lexicon: Lexicon):
+def _reader(learned):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        lexicon = lexicon_of(*learned.value)
         for b in batches:
             rows = [(n, *r, lexicon.given.get(g := r.grp[2:], g[:1]) if r.grp.startswith("P|") else "") for n in b.column("name").to_pylist() for r in read_name(n, lexicon)]
             cols = list(zip(*rows)) or [()] * 5
@@ -445,20 +513,27 @@ def _nearest_links(read: DataFrame, near: DataFrame) -> DataFrame:
     return both.where("(held <= other_held AND d = least) OR (other_held <= held AND d = other_least)")
 
 
-def name_variants(names: DataFrame) -> DataFrame:
+def name_variants(names: DataFrame, agent_types: Collection[str] = (), other_types: Collection[str] = ()) -> DataFrame:
     """``(name, entity)``: names of persons and organisations, equal ``entity`` for spellings of one.
 
-    ``names(name)``; repeated names count once, nulls and names without letters are
+    ``names(name)``, or ``names(name, type)`` with the types that stand for persons and organisations
+    and those that stand for other things; other values of type say nothing. Repeated names count once, nulls and names without letters are
     left out, and so are names that are neither person nor organisation (a single
-    word; places). Given names and kinds of organisations are learned from all names
-    together with fixed lists; cores of one class are linked up to ``allowed`` edits,
+    word; names of a kind that most often goes with other_types; without types all kinds pass for organisations). Given names and kinds of organisations are learned from all names
+    by comparison with one another; cores of one class are linked up to ``allowed`` edits,
     a misspelling to what it is nearest to; links are transitive. A name with an initial, an ambiguous nickname or no given
     name joins a person only if exactly one given name fits it at the least
     distance; otherwise it stays by itself with its equals. Extra columns are ignored.
     """
-    distinct = cut(names.where(F.col("name").isNotNull()).select("name").distinct().repartition(tasks_for_cpu(names.sparkSession), "name"))
-    lexicon = learn(distinct)
-    read = cut(distinct.mapInArrow(_reader(lexicon), "name string, grp string, core string, certainty string, letter string"))
+    kind = F.col("type") if "type" in names.columns else F.lit(None).cast("string")
+    rows = names.where(F.col("name").isNotNull()).select("name", kind.isin(*agent_types).alias("agent"), kind.isin(*agent_types, *other_types).alias("known"))
+    distinct = cut(
+        rows.groupBy("name")
+        .agg(F.coalesce(F.sum(F.col("agent").cast("bigint")), F.lit(0)).alias("agents"), F.coalesce(F.sum(F.col("known").cast("bigint")), F.lit(0)).alias("typed"))
+        .repartition(tasks_for_cpu(names.sparkSession), "name")
+    )
+    learned = names.sparkSession.sparkContext.broadcast(learn(distinct))
+    read = cut(distinct.mapInArrow(_reader(learned), "name string, grp string, core string, certainty string, letter string"))
     node = F.concat_ws("|", "grp", "core")
     full = read.where("certainty = 'full'").select("grp", "core").distinct()
     near = _nearest_links(read, cut(trie_join(full, full).where("probe <> core"))).select(F.concat_ws("|", "grp", "probe").alias("a"), F.concat_ws("|", "grp", "core").alias("b"))

@@ -128,10 +128,19 @@ def p6_neighbours(spark: SparkSession, sf: str) -> DataFrame:
     return _p6_lists(spark, sf, None).select("id", "neighbour", F.round("similarity", 4).alias("similarity"), "place")
 
 
+# Types of entity_type_list that are persons or organisations, and the rest.
+_AGENTS = ("PERSON", "GUILD", "MERCHANT_HOUSE", "OBSERVATORY", "HARBOUR_MASTER")
+_OTHERS = (
+    "SHIP", "SHIPYARD", "HARBOUR", "LIGHTHOUSE", "SETTLEMENT", "WATERWAY", "MOUNTAIN_PASS", "ISLAND", "TREATY", "LEDGER", "FESTIVAL", "TRADE", "TRADE_ROUTE",
+    "EPIDEMIC", "INSTRUMENT", "CROP", "MINERAL", "COINAGE", "MANUSCRIPT", "TOLL_DUTY", "STORM_EVENT", "DOCTRINE", "TIME_SPAN",
+)
+
+
 def p7_entities(spark: SparkSession, sf: str) -> DataFrame:
     """Each name of a person or organisation and the entity it stands for."""
-    names = _read(spark, sf, "entity_rows").select(F.col("entity_name").alias("name"))
-    return name_variants(names.unionByName(_read(spark, sf, "entity_model").select(F.col("entity_name").alias("name"))))
+    columns = [F.col("entity_name").alias("name"), F.col("entity_type").alias("type")]
+    names = _read(spark, sf, "entity_rows").select(*columns).unionByName(_read(spark, sf, "entity_model").select(*columns))
+    return name_variants(names, _AGENTS, _OTHERS)
 
 
 def p7_found(spark: SparkSession, sf: str) -> DataFrame:

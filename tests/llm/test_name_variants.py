@@ -83,6 +83,23 @@ def test_a_family_name_is_no_kind(spark):
     assert ["H. Kowalmerski", "Helmut Kowalmerski"] in got
 
 
+def test_names_of_things_are_left_out_by_their_types(spark):
+    rows = [(f"{w} Codex", "MANUSCRIPT") for w in OWN] + [(f"{w} Rope Works", "GUILD") for w in OWN] + [(f"{OWN[0]} Codex", None), (f"{OWN[1]} Codex", "gild")]
+    df = spark.createDataFrame(rows, "name string, type string")
+    assert {r["name"] for r in name_variants(df, ["GUILD"], ["MANUSCRIPT"]).collect()} == {f"{w} Rope Works" for w in OWN}
+    assert len({r["name"] for r in name_variants(df.drop("type")).collect()}) == 2 * len(OWN)
+
+
+def test_given_names_are_learned_whatever_the_number_of_names(spark):
+    for n in (6, 18):
+        families = [f"{a}{b}" for a in ("Kowal", "Schulz", "Brenz", "Dommig", "Frucht", "Ganse") for b in ("merski", "tadorn", "buholk")][:n]
+        names = [f"Wunibald {f}" for f in families] + [f"{families[0]}, Wunibald", f"Wunibld {families[1]}", f"W. {families[2]}"]
+        got = groups(spark, names)
+        assert sorted([f"Wunibald {families[0]}", f"{families[0]}, Wunibald"]) in got
+        assert sorted([f"Wunibald {families[1]}", f"Wunibld {families[1]}"]) in got
+        assert sorted([f"Wunibald {families[2]}", f"W. {families[2]}"]) in got
+
+
 @pytest.mark.parametrize("bound,names", [("MAX_KINDS", [f"{w} {k}" for w in OWN for k in ("Rope Works", "Chart Office")]), ("MAX_GIVEN", [f"{g} Kowalmer{x}{y}" for g in ("Helmut", "Sigrid") for x in "abcd" for y in "efgh"])])
 def test_too_many_learned_words_are_refused(spark, monkeypatch, bound, names):
     monkeypatch.setattr(module, bound, 1)
