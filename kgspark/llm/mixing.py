@@ -4,14 +4,15 @@ A source that needs c copies of each text on average gives every text floor(c)
 copies and the fraction of one more as a probability. Pivotal rounding settles
 the fractions: two texts meet, probability times size moves from one to the other
 until one is 0 or 1, and the other meets the next. So the source's size stays at
-its target up to one text. Every partition runs this over its own rows and leaves
-at most one open text a source; those meet in a tree of fixed fan-in.
+its target up to one text. Texts fall into buckets by their hash, whatever file they come
+from; every bucket runs this over its own rows with a random stream of its own and leaves
+at most one open text; those meet in a tree of fixed fan-in.
 """
 
 from __future__ import annotations
 
 import random
-from collections.abc import Iterator
+from collections.abc import Iterable
 
 import pyarrow as pa
 from pyspark.sql import DataFrame
@@ -21,7 +22,9 @@ from kgspark.storage import cut
 
 FAN_IN = 512
 _EPS = 1e-9
-_DECIDED = "source string, text_key bigint, size bigint, base int, p double, open boolean"
+BUCKET_ROWS = 20_000
+_KEY = ("text_key", "text_check")  # 128 bits of hash that stand for a text
+_DECIDED = "source string, text_key bigint, text_check bigint, size bigint, base int, p double, open boolean"
 
 
 def _meet(rng: random.Random, a: float, size_a: int, b: float, size_b: int) -> tuple[float, float]:
@@ -32,45 +35,38 @@ def _meet(rng: random.Random, a: float, size_a: int, b: float, size_b: int) -> t
     return a + move / size_a, b - move / size_b
 
 
-class _Settler:
-    """Meets rows one after the other; holds at most one open row a source."""
-
-    def __init__(self, seed: int) -> None:
-        self.rng, self.held = random.Random(seed), {}
-
-    def add(self, rows) -> list[tuple]:
-        """Rows that are decided now: p is 0 or 1."""
-        done = []
-        for source, key, size, base, p in rows:
-            if size <= 0 or p <= _EPS or p >= 1 - _EPS:
-                done.append((source, key, size, base, float(round(p)) if size > 0 else 0.0))
-                continue
-            if source not in self.held:
-                self.held[source] = (source, key, size, base, p)
-                continue
-            _, key0, size0, base0, p0 = self.held.pop(source)
-            p0, p = _meet(self.rng, p0, size0, p, size)
-            for k, s, b, x in ((key0, size0, base0, p0), (key, size, base, p)):
-                if x <= _EPS or x >= 1 - _EPS:
-                    done.append((source, k, s, b, float(round(x))))
-                else:
-                    self.held[source] = (source, k, s, b, x)
-        return done
-
-    def open(self) -> list[tuple]:
-        return list(self.held.values())
+def _settle(rng: random.Random, rows: Iterable[tuple]) -> tuple[list[tuple], list[tuple]]:
+    """Meets rows of a source one after the other; those that are decided, p being 0 or 1, and at most one that is open."""
+    done: list[tuple] = []
+    held: tuple | None = None
+    for *key, size, base, p in rows:
+        if size <= 0 or p <= _EPS or p >= 1 - _EPS:
+            done.append((*key, size, base, float(round(p)) if size > 0 else 0.0))
+            continue
+        if held is None:
+            held = (*key, size, base, p)
+            continue
+        *key0, size0, base0, p0 = held
+        held = None
+        p0, p = _meet(rng, p0, size0, p, size)
+        for row, x in (((*key0, size0, base0), p0), ((*key, size, base), p)):
+            if x <= _EPS or x >= 1 - _EPS:
+                done.append((*row, float(round(x))))
+            else:
+                held = (*row, x)
+    return done, [held] if held else []
 
 
 def _table(done: list[tuple], still: list[tuple]) -> pa.Table:
     rows = [(*r, False) for r in done] + [(*r, True) for r in still]
-    cols = list(zip(*rows)) or [[]] * 6
-    names = ("source", "text_key", "size", "base", "p", "open")
-    kinds = (pa.string(), pa.int64(), pa.int64(), pa.int32(), pa.float64(), pa.bool_())
+    cols = list(zip(*rows)) or [[]] * 7
+    names = ("source", *_KEY, "size", "base", "p", "open")
+    kinds = (pa.string(), pa.int64(), pa.int64(), pa.int64(), pa.int32(), pa.float64(), pa.bool_())
     return pa.table({n: pa.array(c, k) for n, c, k in zip(names, cols, kinds)})
 
 
-def _rows(t: pa.Table | pa.RecordBatch):
-    return zip(*(t.column(c).to_pylist() for c in ("source", "text_key", "size", "base", "p")))
+def _rows(t: pa.Table) -> list[tuple]:
+    return sorted(zip(*(t.column(c).to_pylist() for c in ("source", *_KEY, "size", "base", "p"))))
 
 
 def mix(documents: DataFrame, targets: DataFrame, seed: int = 13, fan_in: int = FAN_IN) -> tuple[DataFrame, DataFrame]:
@@ -90,14 +86,15 @@ def mix(documents: DataFrame, targets: DataFrame, seed: int = 13, fan_in: int =
     Documents of null or unlisted sources, and null or empty texts, are not used; a
     listed source without documents has size 0. Repeated target rows count once.
     Expected reached_size is the target or the cap of its different texts, and the
-    realised one differs by less than one text. Same seed, same plan.
+    realised one differs by less than one text. Same seed and texts, same plan, however
+    the documents lie in files and partitions.
     """
     t = targets.where(F.col("source").isNotNull()).groupBy("source").agg(
         F.max("target_share").alias("target_share"), F.max("max_repeats").alias("max_repeats")
     )
     texts = (
         documents.where(F.col("source").isNotNull() & (F.octet_length("text") > 0))
-        .groupBy("source", F.xxhash64("text").alias("text_key"), F.octet_length("text").cast("bigint").alias("size"))
+        .groupBy("source", F.xxhash64("text").alias("text_key"), F.xxhash64(F.lit(1), "text").alias("text_check"), F.octet_length("text").cast("bigint").alias("size"))
         .agg(F.min("doc_id").alias("doc_id"), F.count(F.lit(1)).alias("held"))
         .join(F.broadcast(t.select("source")) if _few(t) else t.select("source"), "source")
     )
@@ -110,33 +107,27 @@ def mix(documents: DataFrame, targets: DataFrame, seed: int = 13, fan_in: int =
         "source", F.least(F.col("target_size") / F.col("text_size"), F.col("max_repeats").cast("double")).alias("uses")
     )
     units = texts.join(want, "source").select(
-        "source", "text_key", "size", F.floor("uses").cast("int").alias("base"), (F.col("uses") - F.floor("uses")).alias("p")
+        "source", *_KEY, "size", F.floor("uses").cast("int").alias("base"), (F.col("uses") - F.floor("uses")).alias("p")
     )
 
-    def first(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        settler = _Settler(seed)
-        for b in batches:
-            yield from _table(settler.add(_rows(b)), []).to_batches()
-        yield from _table([], settler.open()).to_batches()
-
-    def later(_key, table: pa.Table) -> pa.Table:
-        settler = _Settler(seed)
-        return _table(settler.add(sorted(_rows(table))), settler.open())
+    def settle(key, table):
+        return _table(*_settle(random.Random("|".join(str(k.as_py()) for k in (*key, pa.scalar(seed)))), _rows(table)))
 
-    step = cut(units.sortWithinPartitions("source", "text_key").mapInArrow(first, _DECIDED))
-    decided = step.where("NOT open")
+    step, decided, level, size = units.withColumn("open", F.lit(True)), None, 0, BUCKET_ROWS
     while True:
         left = step.where("open")
         most = left.groupBy("source").count().agg(F.max("count")).first()[0] or 0
-        if most <= 1:
-            last = left.withColumn("p", (F.pmod(F.xxhash64("text_key", F.lit(seed)), F.lit(1 << 20)) / (1 << 20) < F.col("p")).cast("double"))
+        if level and most <= 1:
+            last = left.withColumn("p", (F.pmod(F.xxhash64(*_KEY, F.lit(seed)), F.lit(1 << 20)) / (1 << 20) < F.col("p")).cast("double"))
             decided = decided.unionByName(last)
             break
-        node = F.pmod(F.xxhash64("text_key", F.lit(most)), F.lit(-(-most // fan_in))).alias("node")
-        step = cut(left.groupBy("source", node).applyInArrow(later, _DECIDED))
-        decided = decided.unionByName(step.where("NOT open"))
+        bucket = F.pmod(F.xxhash64(*_KEY, F.lit(level)), F.lit(max(1, -(-most // size)))).alias("bucket")
+        step = cut(left.groupBy("source", bucket, F.lit(level).alias("level")).applyInArrow(settle, _DECIDED))
+        closed = step.where("NOT open")
+        decided = closed if decided is None else decided.unionByName(closed)
+        level, size = level + 1, fan_in
     copies = (F.col("base") + F.col("p")).cast("int")
-    plan = decided.withColumn("copies", copies).where("copies > 0").join(texts.select("source", "text_key", "size", "doc_id"), ["source", "text_key", "size"])
+    plan = decided.withColumn("copies", copies).where("copies > 0").join(texts.select("source", *_KEY, "doc_id"), ["source", *_KEY])
     plan = plan.select("source", "doc_id", "size", "copies")
     reached = decided.groupBy("source").agg(F.sum(F.col("size") * copies).alias("reached_size"))
     all_reached = reached.agg(F.sum("reached_size").alias("all_reached"))

@@ -68,6 +68,8 @@ MIN_NUMBERS = 0.8
 #: Abbreviations that are broadcast; more are refused.
 MAX_ABBREVIATIONS = 200_000
 _SIGHTING = re.compile(r"(?<![^\s(\[«„“\"])([^\W\d_]{1,6})\.(?=([,;:])|\s+([^\W_]))")
+_RUN = re.compile(r"\w+")
+_AFTER_WORD = re.compile(r"[^\W\d_,](?=\s+(\w+))")
 INSIDE, OUTSIDE, NUMBER = range(3)
 
 
@@ -96,6 +98,8 @@ class _Document:
     def __init__(self, text: str, abbreviations: Abbreviations) -> None:
         self.text, self.abbreviations = text, abbreviations
         self._inside: set[str] | None = None
+        self._words: set[str] | None = None
+        self._after_words: set[str] = set()
 
     def abbreviation(self, token: str) -> bool:
         if token in self.abbreviations.inside:
@@ -106,9 +110,10 @@ class _Document:
 
     def name(self, word: str) -> bool:
         """Capitalised inside a sentence, and nowhere in small letters."""
-        if re.search(rf"\b{re.escape(word.lower())}\b", self.text):
-            return False
-        return re.search(rf"[^\W\d_,]\s+{re.escape(word)}\b", self.text) is not None
+        if self._words is None:  # read once, however many stops there are
+            self._words = set(_RUN.findall(self.text))
+            self._after_words = set(_AFTER_WORD.findall(self.text))
+        return word.lower() not in self._words and word in self._after_words
 
 
 def _closing(text: str, at: int, end: int) -> int:

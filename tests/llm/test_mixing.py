@@ -1,6 +1,6 @@
 import random
 
-from kgspark.llm.mixing import _meet, _Settler, mix
+from kgspark.llm.mixing import _meet, _settle, mix
 
 
 def docs(spark, rows):
@@ -22,10 +22,17 @@ def test_meeting_keeps_expected_size():
     assert abs(total[0] - 0.3) < 0.02 and abs(total[1] - 0.6) < 0.02
 
 
-def test_one_open_row_a_source():
-    s = _Settler(1)
-    done = s.add([("a", i, 5 + i % 3, 0, 0.4) for i in range(50)] + [("b", 1, 5, 0, 0.5)])
-    assert len(s.open()) <= 2 and {r[4] for r in done} <= {0.0, 1.0}
+def test_one_open_row_a_bucket():
+    done, still = _settle(random.Random(1), [("a", i, i, 5 + i % 3, 0, 0.4) for i in range(50)])
+    assert len(still) <= 1 and len(done) + len(still) == 50 and {r[5] for r in done} <= {0.0, 1.0}
+
+
+def test_plan_does_not_depend_on_partitions(spark, monkeypatch):
+    monkeypatch.setattr("kgspark.llm.mixing.BUCKET_ROWS", 16)
+    df = docs(spark, [(f"text number {i} {'long ' * (i % 7)}", "ab"[i % 2]) for i in range(300)])
+    want = targets(spark, [("a", 0.7, 2), ("b", 0.3, 1)])
+    one, other = (sorted(map(tuple, mix(df.repartition(n), want, fan_in=3)[0].collect())) for n in (1, 7))
+    assert one == other and sorted(map(tuple, mix(df, want, seed=14, fan_in=3)[0].collect())) != one
 
 
 def test_shares_and_caps(spark):
