@@ -116,16 +116,52 @@ def close_match(known: list[str], cutoff: float = 0.85):
     return match
 
 
+# Frequent words of a language.
+FREQUENT_WORDS = {
+    "en": "the and of was in by to that is for with on as his her had not from were which at it he she",
+    "de": "der die und von wurde den das dem des ein eine nicht mit sich auf zu im ist als auch war nach bei hatte",
+    "fr": "le et fut du les une des dans est pas que qui sur avec pour au aux sont ce cette il elle ne par",
+    "es": "el y los fue del una las que con por para no es se su al como más pero sus le ya lo había",
+}
+
+
 def language(text: Column) -> Column:
     """Language by script, and for Latin script by frequent small words; ``und`` if nothing tells."""
     padded = F.concat(F.lit(" "), F.lower(F.regexp_replace(text, r"[^\p{L}]+", " ")), F.lit(" "))
     share = lambda ws: sum((F.length(padded) - F.length(F.regexp_replace(padded, f" (?:{'|'.join(ws)})(?= )", ""))) for ws in [ws])
-    # Frequent words of a language.
-    latin = {"en": ["the", "and", "of", "was", "in", "by"], "de": ["der", "die", "und", "von", "wurde", "den"], "fr": ["le", "et", "fut", "du", "les", "une"], "es": ["el", "y", "los", "fue", "del", "una"]}
-    scores = {k: share(v) for k, v in latin.items()}
+    scores = {k: share(v.split()) for k, v in FREQUENT_WORDS.items()}
     top = F.greatest(*scores.values())
     out = F.when(text.rlike(r"[぀-ヿ]"), "ja").when(text.rlike(r"[一-鿿]"), "zh").when(text.rlike(r"\p{IsCyrillic}"), "ru")
     out = out.when(text.rlike(r"\p{IsArabic}"), "ar").when(text.rlike(r"\p{IsDevanagari}"), "hi").when(text.rlike(r"\p{IsThai}"), "th")
     for k, s in scores.items():
         out = out.when((s == top) & (s > 0), k)
     return out.otherwise("und")
+
+
+def embedding_text(name: Column, description: Column) -> Column:
+    """Text that is embedded for a row: name and description, or the one that is there."""
+    return F.when(name.isNull(), description).when(description.isNull(), name).otherwise(F.concat(name, F.lit(" - "), description))
+
+
+def row_json(*columns: Column) -> Column:
+    """A row as JSON, nested structs, lists and maps included; nulls are left out."""
+    return F.to_json(F.struct(*columns))
+
+
+def encode_properties(properties: dict[str, Column], native: set[str]) -> Column:
+    """Properties as a map of strings: those of ``native`` names as they are, all others as JSON."""
+    pairs = []
+    for name, value in properties.items():
+        pairs += [F.lit(name), value.cast("string") if name in native else F.when(value.isNotNull(), F.to_json(F.struct(value.alias("v"))))]
+    return F.map_filter(F.create_map(*pairs), lambda _, v: v.isNotNull())
+
+
+def decode_property(properties: Column, name: str, kind: str, native: bool) -> Column:
+    """A property of a map of ``encode_properties``, by its declared type; null where it is missing or not of that type."""
+    text = properties[name]
+    return text.try_cast(kind) if native else F.from_json(text, f"v {kind}")["v"]
+
+
+def truncate_words(text: Column, budget: int, reserved: int = 0) -> Column:
+    """The first words up to a budget, less the places reserved for special tokens; an empty text stays empty."""
+    return F.when(F.trim(text) == "", F.lit("")).otherwise(first_words(text, max(0, budget - reserved)))

@@ -29,7 +29,7 @@ def pack(sentences: Column, size: int, overlap: int = 0) -> Column:
     def step(acc: Column, s: Column) -> Column:
         fits = F.length(acc["cur"]) + F.length(s) <= size
         closed = (acc["cur"] != "") & ~fits
-        tail = F.concat(F.substring(acc["cur"], -overlap, overlap), F.lit(" ")) if overlap else F.lit("")
+        tail = F.concat(F.substring(F.trim(acc["cur"]), -overlap, overlap), F.lit(" ")) if overlap else F.lit("")
         head = F.when(closed, tail).otherwise(acc["cur"])
         return F.struct(
             F.when(closed, F.array_append(acc["done"], F.trim(acc["cur"]))).otherwise(acc["done"]).alias("done"),

@@ -91,3 +91,70 @@ def stated_relations(rows: DataFrame, column: str = "description") -> DataFrame:
     """Rows whose text, without a bullet, says something other than that there is no relation."""
     bare = F.trim(F.regexp_replace(column, r"^\s*(?:[-*•]|\d+[.)])\s*", ""))
     return rows.withColumn(column, bare).where((bare != "") & ~bare.rlike(r"^[-–—.]+$") & ~bare.rlike(_NO_RELATION))
+
+
+def found_rows(hits: DataFrame, table: DataFrame, key: str = "id") -> DataFrame:
+    """Hits with the columns of their rows; hits whose row is gone are dropped."""
+    return hits.join(table, key)
+
+
+def long_texts(rows: DataFrame, column: str, least: int) -> DataFrame:
+    """Rows whose stripped text has at least ``least`` characters."""
+    return rows.where(F.length(F.trim(column)) >= least)
+
+
+def with_endpoints(relations: DataFrame) -> DataFrame:
+    """Relations that name both ends."""
+    return relations.where("subject_id IS NOT NULL AND object_id IS NOT NULL")
+
+
+def good_enough(rated: DataFrame, least: float, column: str = "rating") -> DataFrame:
+    """Rows rated at least ``least``; rows without a rating are left out."""
+    return rated.where(F.col(column) >= least)
+
+
+def answered(responses: DataFrame, column: str = "response") -> DataFrame:
+    """Rows that have a response; failed calls left it null."""
+    return responses.where(F.col(column).isNotNull())
+
+
+def distinct_texts(rows: DataFrame, text: str, key: str) -> DataFrame:
+    """The smallest key for each different stripped text."""
+    return rows.where(F.col(text).isNotNull()).groupBy(F.trim(text).alias("_text")).agg(F.min(key).alias(key)).select(key)
+
+
+def unprocessed_texts(rows: DataFrame, text: str, stored: DataFrame) -> DataFrame:
+    """Rows whose text, by the id it would get, is not among ``stored(doc_id)``."""
+    from kgspark.functions.ids import doc_id
+
+    done = stored.where("doc_id IS NOT NULL").select(F.col("doc_id").alias("_h")).distinct()
+    return rows.where(F.col(text).isNotNull()).withColumn("_h", doc_id(F.col(text))).join(done, "_h", "left_anti").drop("_h")
+
+
+def members_of(communities: DataFrame, entities: DataFrame, relations: DataFrame | None = None) -> DataFrame:
+    """``(community, kind, place, member)``: known members of each community in the order of its lists, entities, then relations.
+
+    A member named twice counts once, at its first place.
+    """
+    def part(column: str, kind: str, table: DataFrame) -> DataFrame:
+        m = communities.select(F.col("id").alias("community"), F.posexplode(F.array_distinct(column)).alias("place", "member"))
+        return m.join(table.select(F.col("id").alias("member")), "member", "left_semi").select("community", F.lit(kind).alias("kind"), "place", "member")
+
+    out = part("entity_ids", "entity", entities)
+    return out if relations is None else out.unionByName(part("relation_ids", "relation", relations))
+
+
+def top_clusters(communities: DataFrame) -> DataFrame:
+    """The greatest cluster number of each level."""
+    return communities.groupBy("level").agg(F.max("cluster_id").alias("top"))
+
+
+def lookup_saving(refs: DataFrame, column: str) -> DataFrame:
+    """How many references there are and how many different rows they need, one row."""
+    return refs.where(F.col(column).isNotNull()).agg(F.count(F.lit(1)).alias("total_hits"), F.countDistinct(column).alias("unique_ids"))
+
+
+def most_common(rows: DataFrame, column: str, k: int) -> DataFrame:
+    """The k most frequent values and their numbers; ties by value."""
+    counts = rows.where(F.col(column).isNotNull()).groupBy(column).agg(F.count(F.lit(1)).alias("n"))
+    return counts.orderBy(F.desc("n"), column).limit(k)

@@ -114,3 +114,17 @@ def low_match_rate(queries: DataFrame, hits: DataFrame):
     """Share of queries without any hit, one row."""
     found = queries.select("query_id").join(hits.select("query_id").distinct().withColumn("_h", F.lit(1)), "query_id", "left")
     return found.agg(F.round(F.avg(F.col("_h").isNull().cast("int")), 6).alias("low_match_rate"))
+
+
+def fuse_examples(ranked: list[DataFrame], k: int) -> DataFrame:
+    """``(query_id, id, score, rank)``: examples by reciprocal ranks of all candidates, with the constant max(k // 2, 1)."""
+    from kgspark.operators.ranking import fuse
+
+    return fuse(ranked, k, max(k // 2, 1))
+
+
+def semantic_examples(examples: DataFrame, queries: DataFrame, k: int, dim: int) -> DataFrame:
+    """The k ``examples(id, vector)`` nearest to each ``queries(query_id, vector)``: none for a zero query, similarity 0 for a zero example."""
+    from kgspark.operators.ranking import dense_top_k
+
+    return dense_top_k(queries.where(F.exists("vector", lambda x: x != 0)), examples, k, dim)

@@ -7,6 +7,7 @@ runs over mentions are joins with tables made from it.
 from __future__ import annotations
 
 import difflib
+import re
 from dataclasses import dataclass, field
 
 from pyspark.sql import DataFrame, SparkSession
@@ -20,7 +21,8 @@ MAX_TYPES = 50_000
 
 def key_of(name: str) -> str:
     """The key by which type names are compared."""
-    return "_".join(name.split(" (")[0].replace("-", " ").replace("_", " ").upper().split())
+    bare = re.sub(r"(?s) \(.*", "", name)
+    return re.sub(r"[\s_-]+", "_", bare).strip("_").upper()
 
 
 @dataclass(frozen=True)
@@ -303,17 +305,22 @@ def validate_relations(relations: DataFrame, entities: DataFrame, ontology: Onto
     """Relation mentions through the checks in order: ends, loops, type, constraint.
 
     ``entities(chunk_id, entity_name, resolved_type)`` are the surviving ones; ends are
-    looked up by name inside their chunk. Result has ``resolved_relation, subject, object, violation, action``.
+    looked up by name inside their chunk, of repeated names the last by ``pos`` if there is such a column, else the greatest type. Inverse aliases
+    swap the ends only where unknown types are coerced; else they are unknown. Result has ``resolved_relation, subject, object, violation, action``.
     """
     spark = relations.sparkSession
-    names = entities.groupBy("chunk_id", "entity_name").agg(F.max("resolved_type").alias("t"))
+    last = F.max_by("resolved_type", "pos") if "pos" in entities.columns else F.max("resolved_type")
+    names = entities.groupBy("chunk_id", "entity_name").agg(last.alias("t"))
     s = names.select("chunk_id", F.col("entity_name").alias("source_entity"), F.col("t").alias("subject_type"), F.lit(True).alias("_s"))
     o = names.select("chunk_id", F.col("entity_name").alias("target_entity"), F.col("t").alias("object_type"), F.lit(True).alias("_o"))
     out = relations.join(s, ["chunk_id", "source_entity"], "left").join(o, ["chunk_id", "target_entity"], "left")
     out = out.withColumn("violation", F.lit(None).cast("string")).withColumn("action", F.lit(None).cast("string"))
     out = _judged(out, policies.dangling, F.col("_s").isNull() | F.col("_o").isNull(), "dangling_endpoint", None)
     out = _judged(out, policies.self_loop, F.coalesce(F.col("source_entity") == F.col("target_entity"), F.lit(False)), "self_loop", None)
-    sp = F.broadcast(ontology.spellings(spark, "relation").select("type_key", F.col("name").alias("resolved_relation"), "inverse"))
+    spellings = ontology.spellings(spark, "relation")
+    if policies.unknown_relation != "coerce":
+        spellings = spellings.where("NOT inverse")
+    sp = F.broadcast(spellings.select("type_key", F.col("name").alias("resolved_relation"), "inverse"))
     out = out.withColumn("type_key", type_key(F.col("relation_type"))).join(sp, "type_key", "left").drop("type_key")
     if policies.unknown_relation == "coerce":
         out = out.withColumn("_near", close_match(sorted(ontology.relations), policies.cutoff)(type_key(F.col("relation_type"))))
@@ -349,3 +356,14 @@ def validate_relations(relations: DataFrame, entities: DataFrame, ontology: Onto
 def report(validated: DataFrame, kind_column: str) -> DataFrame:
     """Rows by violation, action and type, the counters of a validation."""
     return validated.where("violation IS NOT NULL").groupBy("violation", "action", F.col(kind_column).alias("kind")).agg(F.count(F.lit(1)).alias("n"))
+
+
+def type_pairs(entities: DataFrame, ontology: Ontology) -> DataFrame:
+    """``(chunk_id, subject_type, object_type, relation_type)``: constrained relations that two types of a chunk may have.
+
+    ``entities(chunk_id, entity_type)``; the pairs are those of a chunk's different types, bounded by the vocabulary.
+    """
+    ok = ontology.triples(entities.sparkSession).where("outcome = 'ok'").select("subject_type", "object_type", "relation_type")
+    types = entities.select("chunk_id", F.col("entity_type").alias("subject_type")).distinct()
+    first = types.join(F.broadcast(ok), "subject_type")
+    return first.join(types.withColumnRenamed("subject_type", "object_type"), ["chunk_id", "object_type"]).select("chunk_id", "subject_type", "object_type", "relation_type")

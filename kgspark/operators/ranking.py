@@ -7,12 +7,12 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
-from pyspark.sql.pandas.types import to_arrow_type
 
-#: Queries whose vectors go to every task at once; more are searched in several passes.
-QUERIES_AT_ONCE = 20_000
+#: Bytes of query vectors that are broadcast at once; more are searched in several passes.
+QUERY_BYTES_AT_ONCE = 64 << 20
 
 
 def top_k(scored: DataFrame, k: int, group: str = "query_id", score: str = "score", tie: str = "id", least: float | None = None) -> DataFrame:
@@ -24,84 +24,105 @@ def top_k(scored: DataFrame, k: int, group: str = "query_id", score: str = "scor
     return kept.withColumn("rank", F.row_number().over(order)).where(F.col("rank") <= k)
 
 
-def _search(ids: list, matrix: np.ndarray, k: int, metric: str, least: float | None, kinds: tuple):
+def _units(v: np.ndarray) -> np.ndarray:
+    n = np.sqrt(np.einsum("ij,ij->i", v, v))[:, None]
+    return np.divide(v, n, out=np.zeros_like(v), where=n > 0)
+
+
+def _matrix(column: pa.Array | pa.ChunkedArray, dim: int) -> np.ndarray:
+    flat = (column.combine_chunks() if isinstance(column, pa.ChunkedArray) else column).flatten()
+    return flat.to_numpy(zero_copy_only=False).astype(np.float64).reshape(-1, dim)
+
+
+def _search(asked, dim: int, k: int, metric: str, least: float | None, digits: int | None):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        unit = lambda x: np.divide(x, n := np.linalg.norm(x, axis=1, keepdims=True), out=np.zeros_like(x), where=n > 0) if metric == "cosine" else x
-        q = unit(matrix)
+        ids, q = asked.value
         fast = q.astype(np.float32)
+        reach = float(np.sqrt((q * q).sum(axis=1)).max(initial=0))
         for b in batches:
-            vid = np.array(b.column("id").to_pylist(), dtype=object)
-            if not len(vid):
+            v = _matrix(b.column("vector"), dim)
+            bad = np.isnan(v).any(axis=1)
+            if bad.any():
+                b, v = b.filter(pa.array(~bad)), v[~bad]
+            if not len(v):
                 continue
-            v = unit(np.asarray(b.column("vector").flatten().to_numpy(zero_copy_only=False), dtype=np.float64).reshape(len(vid), -1))
+            # Ties go to the smaller id, so no more than k of a batch are needed.
+            order = np.asarray(pc.sort_indices(b.column("id")))
+            place_of_id = np.empty(len(order), np.int64)
+            place_of_id[order] = np.arange(len(order))
+            if metric == "cosine":
+                v = _units(v)
             low = v.astype(np.float32).T
             # Products in single precision choose what is computed again in double; this bounds their error.
-            slack = 1e-5 * max(1.0, float(np.abs(q).max(initial=0)) * float(np.abs(v).max(initial=0)) * q.shape[1])
+            slack = 1e-6 * dim**0.5 * max(1.0, reach * float(np.sqrt((v * v).sum(axis=1)).max())) + (10.0**-digits if digits is not None else 0)
             out = []
             for at in range(0, len(q), 256):
                 s = fast[at : at + 256] @ low
                 width = s.shape[1]
-                if width > 64 * k:  # the best of a row are among the rows' best of 64 stripes
-                    stripes = s[:, : width // 64 * 64].reshape(len(s), 64, -1).max(axis=2)
-                    kth = np.partition(stripes, 64 - min(k, 64), axis=1)[:, 64 - min(k, 64)] if k <= 64 else np.partition(s, width - k, axis=1)[:, width - k]
+                floor = np.full(len(s), -np.inf if least is None else least - slack)
+                stripes = min(64, width // 8)
+                if stripes >= k:  # the best of so many stripes are at least as many good ones
+                    top = s[:, : width // stripes * stripes].reshape(len(s), -1, stripes).max(axis=1)
+                    floor = np.maximum(floor, np.partition(top, stripes - k, axis=1)[:, stripes - k] - 2 * slack)
                 elif width > k:
-                    kth = np.partition(s, width - k, axis=1)[:, width - k]
-                else:
-                    kth = np.full(len(s), -np.inf, np.float32)
-                floor = np.maximum(kth, -np.inf if least is None else least) - 2 * slack
-                r, c = np.nonzero(s >= floor[:, None])
+                    floor = np.maximum(floor, np.partition(s, width - k, axis=1)[:, width - k] - 2 * slack)
+                flat = np.flatnonzero(s >= floor.astype(np.float32)[:, None])
+                r, c = flat // width, flat % width
                 exact = np.einsum("ij,ij->i", q[r + at], v[c])
-                # No more than the k best and their ties leave the batch.
-                order = np.lexsort((-exact, r))
-                r, c, exact = r[order], c[order], exact[order]
-                first = np.searchsorted(r, r)
-                place = np.arange(len(r)) - first
-                last = exact[np.minimum(first + k - 1, len(r) - 1)] if len(r) else exact
-                same = r[np.minimum(first + k - 1, len(r) - 1)] == r if len(r) else r == r
-                keep = (place < k) | (same & (exact >= last))
-                out.append((r[keep] + at, vid[c[keep]], exact[keep]))
-            rows, who, score = (np.concatenate(x) for x in zip(*out)) if out else ([], np.array([]), np.array([]))
-            yield pa.RecordBatch.from_arrays([pa.array([ids[i] for i in rows], kinds[0]), pa.array(who.tolist(), kinds[1]), pa.array(score)], names=["query_id", "id", "score"])
+                if digits is not None:
+                    exact = np.round(exact, digits)
+                by = np.lexsort((place_of_id[c], -exact, r))
+                r, c, exact = r[by], c[by], exact[by]
+                keep = np.arange(len(r)) - np.searchsorted(r, r) < k
+                if least is not None:
+                    keep &= exact >= least
+                out.append((r[keep] + at, c[keep], exact[keep]))
+            rows, found, score = (np.concatenate(x) for x in zip(*out)) if out else (np.zeros(0, np.int64), np.zeros(0, np.int64), np.zeros(0))
+            yield pa.RecordBatch.from_arrays([ids.take(pa.array(rows)), b.column("id").take(pa.array(found)), pa.array(score)], names=["query_id", "id", "score"])
 
     return run
 
 
-def dense_top_k(queries: DataFrame, points: DataFrame, k: int, dim: int, metric: str = "cosine", least: float | None = None) -> DataFrame:
+def dense_top_k(queries: DataFrame, points: DataFrame, k: int, dim: int, metric: str = "cosine", least: float | None = None, digits: int | None = None) -> DataFrame:
     """The k best ``points(id, vector)`` for each ``queries(query_id, vector)``: ``(query_id, id, score, rank)``.
 
-    Query vectors, at most QUERIES_AT_ONCE in a pass, go to the tasks; each batch of
+    Query vectors, at most QUERY_BYTES_AT_ONCE in a pass, are broadcast; each batch of
     points meets them in one matrix product and keeps its own k best, so that only
-    those are shuffled. Vectors of another length and nulls are left out on both sides.
+    those are shuffled. Equal scores, with ``digits`` equal to so many decimals, go by id. Vectors of another length, with NaN and nulls are left out on both sides.
     """
     if metric not in ("cosine", "dot"):
         raise ValueError(f"unknown metric {metric}")
-    fit = lambda df: df.where(F.col("vector").isNotNull() & (F.size("vector") == dim) & ~F.exists("vector", lambda x: x.isNull() | F.isnan(x)))
-    queries = fit(queries)
-    passes = max(1, math.ceil(queries.count() / QUERIES_AT_ONCE))
+    if k <= 0:
+        raise ValueError("k must be positive")
+    spark = points.sparkSession
+    fit = lambda df: df.where(F.size("vector") == dim)  # noqa: E731  # null elements become NaN in the matrix
+    fit_queries = fit(queries).where(~F.exists("vector", lambda x: x.isNull() | F.isnan(x)))
+    passes = max(1, math.ceil(fit_queries.count() * dim * 8 / QUERY_BYTES_AT_ONCE))
     qtype, ptype = dict(queries.dtypes)["query_id"], dict(points.dtypes)["id"]
-    kinds = (to_arrow_type(queries.schema["query_id"].dataType), to_arrow_type(points.schema["id"].dataType))
     found = None
     for p in range(passes):
-        part = queries.where(F.pmod(F.xxhash64("query_id"), F.lit(passes)) == p) if passes > 1 else queries
+        part = fit_queries.where(F.pmod(F.xxhash64("query_id"), F.lit(passes)) == p) if passes > 1 else fit_queries
         rows = part.select("query_id", "vector").toArrow()
-        matrix = rows["vector"].combine_chunks().flatten().to_numpy(zero_copy_only=False).astype(np.float64).reshape(-1, dim)
-        one = fit(points).select("id", "vector").mapInArrow(_search(rows["query_id"].to_pylist(), matrix, k, metric, least, kinds), f"query_id {qtype}, id {ptype}, score double")
+        matrix = _matrix(rows["vector"], dim)
+        asked = spark.sparkContext.broadcast((rows["query_id"].combine_chunks(), _units(matrix) if metric == "cosine" else matrix))
+        one = fit(points).select("id", "vector").mapInArrow(_search(asked, dim, k, metric, least, digits), f"query_id {qtype}, id {ptype}, score double")
         found = one if found is None else found.unionByName(one)
     return top_k(found, k)
 
 
 def fuse(ranked: list[DataFrame], k: int, constant: int = 60) -> DataFrame:
-    """Reciprocal rank fusion of ``(query_id, id, rank)`` lists into one of length k."""
+    """Reciprocal rank fusion of ``(query_id, id, rank)`` lists, ranks from 1, into one of length k. Shares are summed in order, so ties are exact."""
     everything = None
     for r in ranked:
         part = r.select("query_id", "id", (1.0 / (constant + F.col("rank"))).alias("share"))
         everything = part if everything is None else everything.unionByName(part)
-    return top_k(everything.groupBy("query_id", "id").agg(F.sum("share").alias("score")), k)
+    return top_k(everything.groupBy("query_id", "id").agg(F.round(F.sum("share"), 12).alias("score")), k)
 
 
 def sample_k(candidates: DataFrame, k: int, seed: int = 42) -> DataFrame:
     """k of ``candidates(query_id, id)`` for each query, without replacement, the same for one seed."""
-    order = Window.partitionBy("query_id").orderBy(F.xxhash64("query_id", "id", F.lit(seed)), "id")
+    draw = F.md5(F.concat_ws("|", F.col("query_id").cast("string"), F.col("id").cast("string"), F.lit(str(seed))))
+    order = Window.partitionBy("query_id").orderBy(draw, "id")
     return candidates.withColumn("rank", F.row_number().over(order)).where(F.col("rank") <= k)
 
 

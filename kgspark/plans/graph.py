@@ -87,12 +87,12 @@ def _(spark, sf):
 
 @_query("flt10_long_texts", "SELECT doc_id FROM documents WHERE length(trim(text)) >= 80")
 def _(spark, sf):
-    return t.read(spark, sf, "documents").where(F.length(F.trim("text")) >= 80).select("doc_id")
+    return lookup.long_texts(t.read(spark, sf, "documents"), "text", 80).select("doc_id")
 
 
 @_query("flt11_hits_with_endpoints", "SELECT row_id FROM relation_rows WHERE subject_id IS NOT NULL AND object_id IS NOT NULL")
 def _(spark, sf):
-    return t.read(spark, sf, "relation_rows").where("subject_id IS NOT NULL AND object_id IS NOT NULL").select("row_id")
+    return lookup.with_endpoints(t.read(spark, sf, "relation_rows")).select("row_id")
 
 
 @_query("flt13_missing_keys", WITH + "SELECT DISTINCT object_id AS id FROM relation_rows WHERE object_id IS NOT NULL AND object_id NOT IN (SELECT id FROM nodes)")
@@ -288,7 +288,7 @@ def _(spark, sf):
 
 @_query("agg10_top_cluster", "SELECT level, max(cluster_id) AS top FROM kv_community GROUP BY level")
 def _(spark, sf):
-    return t.read(spark, sf, "kv_community").groupBy("level").agg(F.max("cluster_id").alias("top"))
+    return lookup.top_clusters(t.read(spark, sf, "kv_community"))
 
 
 @_query("agg11_document_ids", WITH + """SELECT c.chunk_id AS query_id, list_sort(list(DISTINCT d)) AS documents_id FROM cites c JOIN (SELECT id, unnest(documents_id) AS d FROM nodes) n ON n.id = c.id
@@ -300,8 +300,7 @@ def _(spark, sf):
 
 @_query("agg17_lookup_saving", "SELECT count(*) AS total_hits, count(DISTINCT r) AS unique_ids FROM (SELECT unnest(source_chunk_id) AS r FROM entity_rows) WHERE r IS NOT NULL")
 def _(spark, sf):
-    r = t.read(spark, sf, "entity_rows").select(F.explode("source_chunk_id").alias("r")).where("r IS NOT NULL")
-    return r.agg(F.count(F.lit(1)).alias("total_hits"), F.countDistinct("r").alias("unique_ids"))
+    return lookup.lookup_saving(t.read(spark, sf, "entity_rows").select(F.explode("source_chunk_id").alias("r")), "r")
 
 
 # Ids

@@ -6,7 +6,7 @@ from pyspark.sql import Window
 from pyspark.sql import functions as F
 
 from kgspark.functions import text, vectors
-from kgspark.operators import chunking, engines, models, neighbourhood, ontology, ranking, sparse
+from kgspark.operators import chunking, engines, lookup, models, neighbourhood, ontology, ranking, sparse
 from kgspark.plans import graph
 from kgspark.plans import tables as t
 from kgspark.plans.tables import WITH
@@ -113,7 +113,7 @@ def _(spark, sf):
     return ranking.rerank(scored, 5).select("query_id", "id", "rank")
 
 
-@_query("top6_sample")
+@_query("top6_sample", _TERMS20 + "SELECT query_id, id, rank FROM (SELECT query_id, id, row_number() OVER (PARTITION BY query_id ORDER BY md5(query_id::VARCHAR || '|' || id::VARCHAR || '|42'), id) AS rank FROM bm) WHERE rank <= 2")
 def _(spark, sf):
     d, q = _texts(spark, sf)
     return ranking.sample_k(sparse.bm25_scores(d, q).select("query_id", "id"), 2)
@@ -247,13 +247,20 @@ def _(spark, sf):
 
 @_query("agg13_most_common", _VALID + " SELECT violation, count(*) AS n FROM v WHERE violation IS NOT NULL GROUP BY ALL ORDER BY n DESC, violation LIMIT 5")
 def _(spark, sf):
-    return _validated(spark, sf).where("violation IS NOT NULL").groupBy("violation").agg(F.count(F.lit(1)).alias("n")).orderBy(F.desc("n"), "violation").limit(5)
+    return lookup.most_common(_validated(spark, sf), "violation", 5)
 
 
 # Text and chunks
 
 
-@_query("chk1_simple_chunks")
+_CHUNKS = r"""WITH s AS (SELECT text, list_filter(list_transform(string_split(regexp_replace(regexp_replace(text, '([.!?])\s+', '\1' || chr(7), 'g'), '\n+', chr(7), 'g'), chr(7)), lambda x: trim(x)), lambda x: x <> '') AS l FROM documents WHERE text IS NOT NULL),
+p AS (SELECT text, list_reduce(list_transform(l, lambda x: struct_pack(done := []::VARCHAR[], cur := x || ' ')), lambda a, x: CASE WHEN length(a.cur) + length(x.cur) - 1 <= 500 THEN struct_pack(done := a.done, cur := a.cur || x.cur)
+  ELSE struct_pack(done := list_append(a.done, trim(a.cur)), cur := right(trim(a.cur), 40) || ' ' || x.cur) END) AS r FROM s WHERE len(l) > 0),
+c AS (SELECT text, unnest(list_append(r.done, trim(r.cur))) AS content, generate_subscripts(list_append(r.done, trim(r.cur)), 1) - 1 AS i FROM p)
+SELECT 'chunk-' || md5(chr(0) || content) AS id, content, i AS chunk_order_idx, md5(chr(0) || text) AS doc_id, len(regexp_split_to_array(content, '\s+')) AS num_tokens FROM c"""
+
+
+@_query("chk1_simple_chunks", _CHUNKS)
 def _(spark, sf):
     return chunking.simple_chunks(t.read(spark, sf, "documents"), 500, 40)
 
@@ -281,15 +288,12 @@ def _(spark, sf):
 
 @_query("set6_distinct_texts", "SELECT min(doc_id) AS doc_id FROM documents WHERE text IS NOT NULL GROUP BY trim(text)")
 def _(spark, sf):
-    return t.read(spark, sf, "documents").where("text IS NOT NULL").groupBy(F.trim("text").alias("k")).agg(F.min("doc_id").alias("doc_id")).select("doc_id")
+    return lookup.distinct_texts(t.read(spark, sf, "documents"), "text", "doc_id")
 
 
 @_query("set7_unprocessed_texts", "SELECT doc_id FROM documents WHERE text IS NOT NULL AND md5(chr(0) || text) NOT IN (SELECT doc_id FROM kv_chunks WHERE doc_id IS NOT NULL)")
 def _(spark, sf):
-    from kgspark.functions.ids import doc_id
-
-    done = t.read(spark, sf, "kv_chunks").where("doc_id IS NOT NULL").select(F.col("doc_id").alias("h")).distinct()
-    return t.read(spark, sf, "documents").where("text IS NOT NULL").withColumn("h", doc_id(F.col("text"))).join(done, "h", "left_anti").select("doc_id")
+    return lookup.unprocessed_texts(t.read(spark, sf, "documents"), "text", t.read(spark, sf, "kv_chunks")).select("doc_id")
 
 
 @_query("fn10_labels", "SELECT DISTINCT entity_type, coalesce(nullif(CASE WHEN regexp_matches(s, '^[0-9]') THEN '_' || s ELSE s END, ''), 'ENTITY') AS label FROM (SELECT entity_type, regexp_replace(trim(entity_type), '[^A-Za-z0-9_]', '_', 'g') AS s FROM entity_model WHERE entity_type IS NOT NULL)")
@@ -303,7 +307,13 @@ def _(spark, sf):
     return r.select("mention_id", F.trim("source_entity").alias("source_entity"), text.valid_strength(F.col("relationship_strength")).alias("valid"), text.clean_type(F.col("relation_type")).alias("kind"))
 
 
-@_query("fn27_language")
+_WORDS_OF = ", ".join(f"(list_sum([0] || list_transform(list_filter(w, lambda x: x IN ({', '.join(repr(x) for x in ws.split())})), lambda x: length(x) + 1))) AS {k}" for k, ws in text.FREQUENT_WORDS.items())
+
+
+@_query("fn27_language", f"""WITH d AS (SELECT lang, text, string_split(' ' || lower(regexp_replace(text, '[^\\p{{L}}]+', ' ', 'g')) || ' ', ' ') AS w FROM documents WHERE length(text) > 0),
+s AS (SELECT *, {_WORDS_OF} FROM d), b AS (SELECT *, greatest({', '.join(text.FREQUENT_WORDS)}) AS top FROM s)
+SELECT lang, CASE WHEN regexp_matches(text, '[぀-ヿ]') THEN 'ja' WHEN regexp_matches(text, '[一-鿿]') THEN 'zh' WHEN regexp_matches(text, '\\p{{Cyrillic}}') THEN 'ru' WHEN regexp_matches(text, '\\p{{Arabic}}') THEN 'ar'
+  WHEN regexp_matches(text, '\\p{{Devanagari}}') THEN 'hi' WHEN regexp_matches(text, '\\p{{Thai}}') THEN 'th' {' '.join(f"WHEN {k} = top AND {k} > 0 THEN '{k}'" for k in text.FREQUENT_WORDS)} ELSE 'und' END AS detected, count(*) AS n FROM b GROUP BY ALL""")
 def _(spark, sf):
     d = t.read(spark, sf, "documents").where(F.length("text") > 0)
     return d.groupBy("lang", text.language(F.col("text")).alias("detected")).agg(F.count(F.lit(1)).alias("n"))

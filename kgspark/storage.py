@@ -26,13 +26,25 @@ def shared_dir(spark: SparkSession) -> str:
     return root
 
 
+def _own_dir(spark: SparkSession) -> str:
+    """Folder of this application's cut tables inside the shared one."""
+    return f"{shared_dir(spark)}/cut-{spark.sparkContext.applicationId}"
+
+
+def clean(spark: SparkSession) -> None:
+    """Remove all tables that ``cut`` wrote in this application; call it when no result that builds on them is wanted any more."""
+    path = spark._jvm.org.apache.hadoop.fs.Path(_own_dir(spark))
+    path.getFileSystem(spark._jsc.hadoopConfiguration()).delete(path, True)
+
+
 def cut(df: DataFrame) -> DataFrame:
     """Write ``df`` to the shared folder and read it back.
 
     What follows depends on the files alone, so a lost executor costs a re-read
-    and not a recomputation, and nondeterministic row order is fixed once.
+    and not a recomputation, and nondeterministic row order is fixed once. The
+    files stay until ``clean`` removes those of the application.
     """
-    path = f"{shared_dir(df.sparkSession)}/cut-{uuid.uuid4().hex}"
+    path = f"{_own_dir(df.sparkSession)}/{uuid.uuid4().hex}"
     df.write.parquet(path)
     return df.sparkSession.read.schema(df.schema).parquet(path)
 

@@ -61,7 +61,7 @@ def python_pack(sentences, size, overlap):
     for s in sentences:
         if cur and len(cur) + len(s) > size:
             out.append(cur.strip())
-            cur = (cur[-overlap:] + " ") if overlap else ""
+            cur = (out[-1][-overlap:] + " ") if overlap else ""  # of the stripped chunk
         cur += s + " "
     out.append(cur.strip())
     return [c for c in out if c]
