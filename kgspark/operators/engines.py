@@ -10,6 +10,7 @@ from pyspark.sql import functions as F
 from kgspark.operators import neighbourhood
 from kgspark.operators.ranking import rerank, top_k, topological_levels
 from kgspark.operators.sparse import bm25_top_k, overlap_scores
+from kgspark.storage import cut
 
 #: Queries that a nested-loop engine takes in one batch.
 MAX_QUERIES = 100_000
@@ -18,14 +19,18 @@ MAX_QUERIES = 100_000
 def naive_retrieve(queries: DataFrame, chunks: DataFrame, k: int = 20, rerank_k: int | None = None, search: Callable = bm25_top_k, score: Callable | None = overlap_scores) -> DataFrame:
     """``(query_id, chunk_id, doc_id, score, rank)``: chunks found by ``search``, reordered by ``score`` if there is one.
 
-    ``search(documents, queries, k)`` gives ``(query_id, id, score, rank)``; ``score(documents, queries)`` gives ``(query_id, id, score)``.
+    ``search(documents, queries, k)`` gives ``(query_id, id, score, rank)``; ``score(documents, queries)`` gives ``(query_id, id, score)``
+    and is not called where the search gives ``rescore`` itself and the scorer is the offline one.
     The cut to ``rerank_k`` applies only when a scorer is given.
     """
     texts = chunks.select("id", F.col("content").alias("text"))
     hits = search(texts, queries, k)
     if score is None:
         ranked = hits.select("query_id", "id", "score", (F.col("rank") - 1).alias("rank"))
+    elif score is overlap_scores and "rescore" in hits.columns:
+        ranked = rerank(hits.select("query_id", "id", F.col("rank").alias("pos"), F.col("rescore").alias("score")), rerank_k).select("query_id", "id", "score", "rank")
     else:
+        hits = cut(hits)
         found = score(texts.join(hits.select("id").distinct(), "id", "left_semi"), queries)
         pairs = hits.select("query_id", "id", F.col("rank").alias("pos")).join(found, ["query_id", "id"], "left").na.fill(0.0, ["score"])
         ranked = rerank(pairs, rerank_k).select("query_id", "id", "score", "rank")

@@ -2,12 +2,13 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from kgspark.functions.ids import community_id
 from kgspark.operators.lookup import require_unique
 from kgspark.operators.merge import merge_entities, merge_relations
+from kgspark.operators.ranking import running_total
 
 
 def upsert(existing: DataFrame, incoming: DataFrame, key: str = "id", last: str | None = None) -> DataFrame:
@@ -92,9 +93,8 @@ def new_chunks(batch: DataFrame, stored: DataFrame) -> DataFrame:
 def remap_clusters(existing: DataFrame, local: DataFrame) -> DataFrame:
     """New numbers for ``local(level, cluster_id)`` after the greatest of ``existing`` on the level: ``(level, cluster_id, new_cluster_id, community_id)``."""
     top = existing.groupBy("level").agg(F.max("cluster_id").alias("top"))
-    order = Window.partitionBy("level").orderBy("cluster_id")
-    renumbered = local.select("level", "cluster_id").distinct().withColumn("n", F.row_number().over(order))
-    out = renumbered.join(F.broadcast(top), "level", "left")  # a row a level
+    renumbered = running_total(local.select("level", "cluster_id").distinct(), F.lit(1), "level", ["cluster_id"], "n")
+    out = renumbered.join(top, "level", "left")
     new = F.coalesce(F.col("top"), F.lit(-1)) + F.col("n")
     return out.select("level", "cluster_id", new.cast("int").alias("new_cluster_id"), community_id(F.col("level"), new).alias("community_id"))
 

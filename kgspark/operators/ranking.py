@@ -8,7 +8,7 @@ from collections.abc import Iterator
 import numpy as np
 import pyarrow as pa
 import pyarrow.compute as pc
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 #: Bytes of query vectors that are broadcast at once; more are searched in several passes.
@@ -133,10 +133,28 @@ def rerank(scored: DataFrame, k: int | None = None) -> DataFrame:
     return out if k is None else out.where(F.col("rank") < k)
 
 
+def running_total(rows: DataFrame, value: Column, group: str, order: list[str], name: str = "total") -> DataFrame:
+    """``rows`` with the sum of ``value`` over the rows of its group up to its own, in an order without ties.
+
+    Rows lie in ranges of (group, order), so a group of any size spreads over tasks; each
+    range sums its own rows and is shifted by the ranges of the group before it.
+    """
+    from kgspark.storage import cut
+
+    part = rows.withColumn("_value", value).repartitionByRange(group, *order).withColumn("_range", F.spark_partition_id())
+    part = cut(part)
+    own = Window.partitionBy("_range", group).orderBy(*order).rowsBetween(Window.unboundedPreceding, 0)
+    sums = part.groupBy("_range", F.col(group).alias("_group")).agg(F.sum("_value").alias("_sum"))
+    before = Window.partitionBy("_group").orderBy("_range").rowsBetween(Window.unboundedPreceding, -1)  # a row a range
+    shift = sums.withColumn("_shift", F.coalesce(F.sum("_sum").over(before), F.lit(0))).where("_shift <> 0").select("_range", "_group", "_shift")
+    local = part.withColumn("_own", F.sum("_value").over(own))
+    out = local.join(shift, (local["_range"] == shift["_range"]) & local[group].eqNullSafe(F.col("_group")), "left")
+    return out.select(*[local[c] for c in rows.columns], (F.col("_own") + F.coalesce("_shift", F.lit(0))).alias(name))
+
+
 def within_budget(rows: DataFrame, budget: int, size: str = "tokens", group: str = "query_id", order: str = "rank") -> DataFrame:
-    """The longest prefix of each group whose sizes sum up to at most the budget."""
-    w = Window.partitionBy(group).orderBy(order).rowsBetween(Window.unboundedPreceding, 0)
-    return rows.withColumn("used", F.sum(size).over(w)).where(F.col("used") <= budget)
+    """The longest prefix of each group whose sizes sum up to at most the budget, as ``used``; ``order`` has no ties."""
+    return running_total(rows, F.col(size), group, [order], "used").where(F.col("used") <= budget)
 
 
 def topological_levels(subqueries: DataFrame, max_depth: int = 1_000) -> DataFrame:

@@ -31,25 +31,36 @@ def bm25_weights(terms: DataFrame, k1: float = 1.2, b: float = 0.75, average: fl
     return terms.withColumn("weight", tf * (k1 + 1) / (tf + k1 * (1 - b + b * F.col("length") / average)))
 
 
-def bm25_scores(documents: DataFrame, queries: DataFrame) -> DataFrame:
-    """``(query_id, id, score)`` for every ``queries(query_id, text)`` and ``documents(id, text)`` that share a word.
+def keyword_scores(documents: DataFrame, queries: DataFrame) -> DataFrame:
+    """``(query_id, id, bm25, overlap)`` for every ``queries(query_id, text)`` and ``documents(id, text)`` that share a word.
 
-    Only tokens of the queries leave the document side, before anything is shuffled by score.
+    Texts are read once for both scores: BM25, and the share of the query's different words that the document
+    holds, an offline stand-in for a reranker. Only tokens of the queries leave the document side.
     """
     asked = cut(term_counts(queries, "query_id").select("query_id", "token"))
     terms = cut(term_counts(documents, "id", only=asked))
     idf = document_frequency(terms, "id", documents.agg(F.count("id").alias("n")))
-    asked = asked.join(idf, "token").select("query_id", "token", "idf")
+    size = asked.groupBy("query_id").agg(F.count(F.lit(1)).alias("n_asked"))
+    asked = asked.join(idf, "token").join(size, "query_id").select("query_id", "token", "idf", "n_asked")
     found = bm25_weights(terms).join(asked, "token")
-    return found.groupBy("query_id", "id").agg(F.round(F.sum(F.col("weight") * F.col("idf")), 6).alias("score"))
+    return found.groupBy("query_id", "id").agg(
+        F.round(F.sum(F.col("weight") * F.col("idf")), 6).alias("bm25"), F.round(F.count(F.lit(1)) / F.first("n_asked"), 6).alias("overlap")
+    )
+
+
+def bm25_scores(documents: DataFrame, queries: DataFrame) -> DataFrame:
+    """``(query_id, id, score)`` by BM25; see keyword_scores."""
+    return keyword_scores(documents, queries).select("query_id", "id", F.col("bm25").alias("score"))
 
 
 def bm25_top_k(documents: DataFrame, queries: DataFrame, k: int) -> DataFrame:
-    return top_k(bm25_scores(documents, queries), k)
+    """``(query_id, id, score, rank, rescore)``: the k best by BM25, with their overlap for a reranking."""
+    scored = keyword_scores(documents, queries).select("query_id", "id", F.col("bm25").alias("score"), F.col("overlap").alias("rescore"))
+    return top_k(scored, k)
 
 
 def overlap_scores(documents: DataFrame, queries: DataFrame) -> DataFrame:
-    """Share of the query's different words that a document holds: an offline stand-in for a reranker."""
+    """``(query_id, id, score)`` by overlap; see keyword_scores."""
     q = term_counts(queries, "query_id").select("query_id", "token")
     size = q.groupBy("query_id").agg(F.count(F.lit(1)).alias("n"))
     both = term_counts(documents, "id", only=q).select("id", "token").join(q, "token").groupBy("query_id", "id").agg(F.count(F.lit(1)).alias("both"))

@@ -11,6 +11,7 @@ from kgspark.plans import graph
 from kgspark.plans import tables as t
 from kgspark.plans.tables import WITH
 from kgspark.sources.store import display_attributes
+from kgspark.storage import cut
 from kgspark.streaming.ingest import windowed_counts
 
 QUERIES: dict = {}
@@ -100,7 +101,8 @@ def _(spark, sf):
 FROM (SELECT query_id, id, sum(1.0 / (60 + rank)) AS score FROM (SELECT query_id, id, rank FROM bmk UNION ALL SELECT query_id, id, rank FROM ovk) GROUP BY ALL)) WHERE rank <= 10""")
 def _(spark, sf):
     d, q = _texts(spark, sf)
-    lists = [sparse.bm25_top_k(d, q, 20), ranking.top_k(sparse.overlap_scores(d, q), 20)]
+    both = cut(sparse.keyword_scores(d, q))
+    lists = [ranking.top_k(both, 20, score=c) for c in ("bm25", "overlap")]
     return ranking.fuse(lists, 10).select("query_id", "id", F.round("score", 6).alias("score"), "rank")
 
 
@@ -108,9 +110,8 @@ def _(spark, sf):
 FROM bmk b LEFT JOIN ov o ON o.query_id = b.query_id AND o.id = b.id) WHERE rank < 5""")
 def _(spark, sf):
     d, q = _texts(spark, sf)
-    hits = sparse.bm25_top_k(d, q, 20).select("query_id", "id", F.col("rank").alias("pos"))
-    scored = hits.join(sparse.overlap_scores(d, q), ["query_id", "id"], "left").na.fill(0.0, ["score"])
-    return ranking.rerank(scored, 5).select("query_id", "id", "rank")
+    hits = sparse.bm25_top_k(d, q, 20).select("query_id", "id", F.col("rank").alias("pos"), F.col("rescore").alias("score"))
+    return ranking.rerank(hits, 5).select("query_id", "id", "rank")
 
 
 @_query("top6_sample", _TERMS20 + "SELECT query_id, id, rank FROM (SELECT query_id, id, row_number() OVER (PARTITION BY query_id ORDER BY md5(query_id::VARCHAR || '|' || id::VARCHAR || '|42'), id) AS rank FROM bm) WHERE rank <= 2")

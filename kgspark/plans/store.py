@@ -381,7 +381,7 @@ def _(spark, sf):
     return d.where(F.size(F.split(F.trim("title"), r"\s+")) > 2).select("doc_id", text.truncate_words(F.col("title"), 4, 2).alias("short"))
 
 
-@_query("prj8_row_json", "SELECT row_id, json_extract_string(j, '$.id') AS id, json_array_length(json_extract(j, '$.source_chunk_id')) AS n FROM (SELECT row_id, to_json(struct_pack(id := id, source_chunk_id := source_chunk_id)) AS j FROM entity_rows)")
+@_query("prj8_row_json", "SELECT row_id, json_extract_string(j, '$.id') AS id, CASE WHEN source_chunk_id IS NOT NULL THEN json_array_length(json_extract(j, '$.source_chunk_id')) END AS n FROM (SELECT row_id, source_chunk_id, to_json(struct_pack(id := id, source_chunk_id := source_chunk_id)) AS j FROM entity_rows)")
 def _(spark, sf):
     j = text.row_json(F.col("id"), F.col("source_chunk_id"))
     return t.read(spark, sf, "entity_rows").select("row_id", F.get_json_object(j, "$.id").alias("id"), F.json_array_length(F.get_json_object(j, "$.source_chunk_id")).alias("n"))

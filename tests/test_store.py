@@ -11,7 +11,7 @@ import __spark_entry__ as entry
 from kgspark.functions import text
 from kgspark.operators import chunking, models, ontology, search
 from kgspark.operators.index import GraphIndex
-from kgspark.operators.ranking import dense_top_k
+from kgspark.operators.ranking import dense_top_k, running_total
 from kgspark.storage import clean, cut, shared_dir
 
 ENTITY = "id string, entity_name string, entity_type string, description string, source_chunk_id array<string>, documents_id array<string>, clusters array<struct<level:int,cluster_id:int>>"
@@ -169,3 +169,14 @@ def test_core_queries_stay_if_a_package_is_missing(monkeypatch):
     monkeypatch.setattr(importlib, "import_module", without)
     with pytest.warns(UserWarning, match="xxhash"):
         assert "p5_found" in entry.queries()
+
+
+def test_running_totals_of_a_hot_group_over_many_ranges(spark):
+    rows = [("hot", i, i % 5) for i in range(3_000)] + [("a", 1, 4), ("a", 2, 1), (None, 1, 7), (None, 2, 2)]
+    df = spark.createDataFrame(rows, "g string, o int, v int")
+    got = {(r["g"], r["o"]): r["total"] for r in running_total(df, F.col("v"), "g", ["o"]).collect()}
+    want, run = {}, {}
+    for g, o, v in sorted(rows, key=lambda r: (str(r[0]), r[1])):
+        run[g] = want[g, o] = run.get(g, 0) + v
+    assert got == want
+    assert running_total(df.limit(0), F.col("v"), "g", ["o"]).count() == 0
