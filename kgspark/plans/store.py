@@ -8,7 +8,7 @@ from pyspark.sql import Window
 from pyspark.sql import functions as F
 
 from kgspark.functions import ids, text, vectors
-from kgspark.operators import lookup, merge, models, neighbourhood, ontology, ranking, search, sparse
+from kgspark.operators import extract, lookup, merge, models, neighbourhood, ontology, ranking, search, sparse
 from kgspark.operators.community import keep_memberships
 from kgspark.operators.index import GraphIndex, next_cluster_ids, remap_and_rewrite
 from kgspark.plans import graph
@@ -473,3 +473,50 @@ def _(spark, sf):
 @_query("fn18_json_bytes", "SELECT row_id, 9 + length(id) AS n FROM entity_rows")
 def _(spark, sf):
     return t.read(spark, sf, "entity_rows").select("row_id", text.json_size(F.col("id")).alias("n"))
+
+
+# Extraction with models that regular expressions stand in for
+
+
+def _capitalised(content: str) -> list[str]:
+    return sorted(set(re.findall(r"[A-Z][a-z]{3,}", content)))[:3]
+
+
+def _entities_of(content: str) -> list[dict]:
+    if len(content) % 7 == 0:
+        raise ValueError("no answer")
+    return [{"entity_name": w, "entity_type": "PERSON", "description": None} for w in _capitalised(content)]
+
+
+def _follows(content: str, entities: list[dict]) -> list[dict]:
+    n = sorted(e["entity_name"] for e in entities)
+    return [{"source_entity": a, "target_entity": b, "relation_type": "FOLLOWS", "description": f"{a} {b}", "relationship_strength": 1} for a, b in zip(n, n[1:])]
+
+
+_FOUND = """WITH f AS (SELECT row_id, list_sort(list_distinct(regexp_extract_all(content, '[A-Z][a-z]{3,}')))[1:3] AS n, length(content) AS len FROM kv_chunks WHERE content IS NOT NULL)"""
+
+
+def _rows_as_chunks(spark, sf):
+    return t.read(spark, sf, "kv_chunks").select(F.col("row_id").cast("string").alias("id"), "content")
+
+
+@_query("ext2_two_stages", _FOUND + """SELECT row_id::VARCHAR AS chunk_id, n[i] AS source_entity, n[i + 1] AS target_entity, n[i] || ' ' || n[i + 1] AS description FROM (SELECT row_id, n, unnest(range(1, len(n))) AS i FROM f WHERE len % 7 <> 0)""".replace("len(n)", "array_length(n)"))
+def _(spark, sf):
+    out = extract.two_stage(_rows_as_chunks(spark, sf), _entities_of, _follows)
+    return out.relations.select("chunk_id", "source_entity", "target_entity", "description")
+
+
+@_query("ext4_failures", _FOUND + "SELECT row_id::VARCHAR AS chunk_id, 'entities' AS stage, 'ValueError: no answer' AS error FROM f WHERE len % 7 = 0")
+def _(spark, sf):
+    return extract.two_stage(_rows_as_chunks(spark, sf), _entities_of, _follows).failures
+
+
+def _pair_text(content: str, a: str, b: str) -> str:
+    return f"- {a} meets {b}" if a < b else "- "
+
+
+@_query("ext3_four_stages", _FOUND + """, e AS (SELECT row_id, unnest(list_distinct(list_transform(n, lambda w: upper(w)))) AS w FROM f)
+SELECT a.row_id::VARCHAR AS chunk_id, a.w AS source_entity, b.w AS target_entity, a.w || ' meets ' || b.w AS description FROM e a JOIN e b ON a.row_id = b.row_id AND a.w < b.w""")
+def _(spark, sf):
+    out = extract.four_stage(_rows_as_chunks(spark, sf), _capitalised, lambda content, w: w.upper(), lambda content, w: f"about {w}", _pair_text)
+    return out.relations.select("chunk_id", "source_entity", "target_entity", "description")
