@@ -10,6 +10,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from kgspark.functions.ids import chunk_id, doc_id
+from kgspark.storage import spread
 
 
 def rule_sentences(text: Column) -> Column:
@@ -41,7 +42,7 @@ def pack(sentences: Column, size: int, overlap: int = 0) -> Column:
 
 def simple_chunks(documents: DataFrame, size: int, overlap: int = 0, sentences: Callable[[Column], Column] = rule_sentences) -> DataFrame:
     """``(id, content, chunk_order_idx, doc_id, num_tokens)`` of ``documents(text)``; empty texts give none. No shuffle, no Python."""
-    packed = documents.select(doc_id(F.col("text")).alias("doc_id"), F.posexplode(pack(sentences(F.col("text")), size, overlap)).alias("chunk_order_idx", "content"))
+    packed = spread(documents.select("text")).select(doc_id(F.col("text")).alias("doc_id"), F.posexplode_outer(pack(sentences(F.col("text")), size, overlap)).alias("chunk_order_idx", "content")).where("content IS NOT NULL")  # outer: no inferred filter packs again
     return packed.select(chunk_id(F.col("content")).alias("id"), "content", "chunk_order_idx", "doc_id", F.size(F.split("content", r"\s+")).alias("num_tokens"))
 
 
@@ -82,5 +83,5 @@ def semantic_chunks(documents: DataFrame, most_tokens: int, embed: Callable[[lis
     def split(parts: pd.Series) -> pd.Series:
         return parts.map(lambda s: semantic_split(list(s) if s is not None else [], most_tokens, embed))
 
-    packed = documents.select(doc_id(F.col("text")).alias("doc_id"), F.posexplode(split(rule_sentences(F.col("text")))).alias("chunk_order_idx", "content"))
+    packed = spread(documents.select("text")).select(doc_id(F.col("text")).alias("doc_id"), F.posexplode_outer(split(rule_sentences(F.col("text")))).alias("chunk_order_idx", "content")).where("content IS NOT NULL")
     return packed.select(chunk_id(F.col("content")).alias("id"), "content", "chunk_order_idx", "doc_id", F.size(F.split("content", r"\s+")).alias("num_tokens"))

@@ -7,12 +7,14 @@ from pyspark.sql import functions as F
 
 from kgspark.functions.text import words
 from kgspark.operators.ranking import top_k
-from kgspark.storage import cut
+from kgspark.storage import cut, spread
 
 
 def term_counts(texts: DataFrame, key: str, column: str = "text", stop: list[str] | None = None, only: DataFrame | None = None) -> DataFrame:
     """``(key, token, tf, length)`` of every text; ``only(token)`` keeps these tokens, before anything is shuffled."""
-    w = texts.select(key, words(F.col(column), stop=stop).alias("w")).select(key, F.size("w").alias("length"), F.explode("w").alias("token"))
+    w = spread(texts.select(key, column)).select(key, words(F.col(column), stop=stop).alias("w"))
+    # explode would put a filter before itself that splits the text twice more; the outer one does not.
+    w = w.select(key, F.size("w").alias("length"), F.explode_outer("w").alias("token")).where("token IS NOT NULL")
     if only is not None:
         w = w.join(only.select("token").distinct(), "token", "left_semi")
     return w.groupBy(key, "length", "token").agg(F.count(F.lit(1)).alias("tf"))

@@ -60,3 +60,15 @@ def at_most(df: DataFrame, most: int, what: str) -> list:
 def tasks_for_cpu(spark: SparkSession) -> int:
     """Tasks for work that is heavy in CPU but small in bytes, which adaptive execution would merge into few."""
     return max(2 * spark.sparkContext.defaultParallelism, int(spark.conf.get("spark.sql.shuffle.partitions")))
+
+
+def spread(rows: DataFrame) -> DataFrame:
+    """``rows`` over as many tasks as there are cores, if they are so few bytes that a scan would make fewer tasks.
+
+    A scan packs up to ``spark.sql.files.openCostInBytes`` into a task even where cores stay idle, which is too much for work
+    that is heavy in CPU. What is larger, or of unknown size, is left as it is, so nothing large is ever moved for this.
+    """
+    spark = rows.sparkSession
+    size = int(str(rows._jdf.queryExecution().optimizedPlan().stats().sizeInBytes()))
+    least = int(spark._jvm.org.apache.spark.network.util.JavaUtils.byteStringAsBytes(spark.conf.get("spark.sql.files.openCostInBytes")))
+    return rows.repartition(tasks_for_cpu(spark)) if size < least * spark.sparkContext.defaultParallelism else rows
