@@ -21,10 +21,11 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from kgspark.storage import cut, tasks_for_cpu
+
 UNMATCHED = "UNMATCHED"
 #: Names and aliases that one automaton takes; longer lists are refused.
 MAX_PATTERNS = 200_000
-_CACHE_VALUES = 500_000
 #: Least overlap of two sets of words: of any two, and where all words of the pattern are met.
 LEAST_OVERLAP, LEAST_OVERLAP_WHOLE = 0.6, 0.4
 #: Most words of a value that are read as one.
@@ -196,19 +197,10 @@ class Canonical:
 
 def _mapper(entries: list[tuple[str, str]], own: frozenset[str]):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        known, index = {}, Canonical(entries)
+        index = Canonical(entries)
         for b in batches:
-            values = b.column("value").dictionary_encode()  # each spelling is looked up once
-            names = []
-            for v in values.dictionary.to_pylist():
-                name = known.get(v)
-                if name is None:
-                    if len(known) >= _CACHE_VALUES:
-                        known.clear()
-                    name = known[v] = v if v in own else index.find(v)
-                names.append(name)
-            canonical = pa.array(names, pa.string()).take(values.indices)
-            yield pa.RecordBatch.from_arrays([b.column("row_id"), b.column("value"), canonical], names=["row_id", "value", "canonical_name"])
+            names = [v if v in own else index.find(v) for v in b.column("value").to_pylist()]
+            yield pa.RecordBatch.from_arrays([b.column("value"), pa.array(names, pa.string())], names=["value", "canonical_name"])
 
     return run
 
@@ -221,8 +213,8 @@ def map_to_list(rows: DataFrame, reference: DataFrame) -> DataFrame:
     Of several embedded names the first of the longest counts. A value that is
     equally near to two names is unmatched. Null and blank values give no row, repeated rows are
     mapped each. Null names and null or blank aliases are ignored; an empty list
-    leaves all unmatched. Extra columns are ignored. Rows are not shuffled; the
-    list is sent to every task and must have at most MAX_PATTERNS spellings.
+    leaves all unmatched. Extra columns are ignored. Each different value is looked up once and
+    joined back; the list is sent to every task and must have at most MAX_PATTERNS spellings.
     """
     spellings = reference.where(F.col("name").isNotNull()).select(
         F.explode(F.array_union(F.array("name"), F.coalesce("aliases", F.array().cast("array<string>")))).alias("spelling"), "name"
@@ -232,4 +224,7 @@ def map_to_list(rows: DataFrame, reference: DataFrame) -> DataFrame:
         raise ValueError(f"the reference list has more than {MAX_PATTERNS} spellings; split it and map against each part")
     own = frozenset(n for _, n in entries)
     values = rows.where(F.col("value").isNotNull() & F.col("value").rlike(r"(?U)\S")).select("row_id", "value")
-    return values.mapInArrow(_mapper(entries, own), "row_id bigint, value string, canonical_name string")
+    # Written, so that the join knows how many different values there are.
+    different = cut(values.select("value").distinct())
+    names = cut(different.repartition(tasks_for_cpu(rows.sparkSession), "value").mapInArrow(_mapper(entries, own), "value string, canonical_name string"))
+    return values.join(names, "value").select("row_id", "value", "canonical_name")

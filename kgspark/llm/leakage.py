@@ -23,6 +23,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from kgspark.batches import slices
+from kgspark.storage import spread
 
 #: Words that count as a passage, and words of a shingle; the same in characters for scripts without spaces.
 WORDS, WORD_SHINGLE = 10, 5
@@ -235,7 +236,7 @@ def leaked_items(documents: DataFrame, items: DataFrame) -> DataFrame:
     usable = items.where(F.col("item_id").isNotNull() & (F.length("text") > 0)).select(F.col("item_id").cast("bigint").alias("item_id"), "text")
     size = usable.agg(F.coalesce(F.sum(F.octet_length("text")), F.lit(0))).first()[0]
     passes = max(1, -(-size // ITEM_BYTES_AT_ONCE))
-    texts = documents.where(F.col("doc_id").isNotNull() & (F.length("text") > 0)).select("doc_id", "text")
+    texts = spread(documents.where(F.col("doc_id").isNotNull() & (F.length("text") > 0)).select("doc_id", "text"))
     found = None
     for p in range(passes):
         block = usable.where(F.pmod(F.xxhash64("item_id"), F.lit(passes)) == p) if passes > 1 else usable

@@ -121,8 +121,8 @@ def mix(documents: DataFrame, targets: DataFrame, seed: int = 13, fan_in: int =
             last = left.withColumn("p", (F.pmod(F.xxhash64(*_KEY, F.lit(seed)), F.lit(1 << 20)) / (1 << 20) < F.col("p")).cast("double"))
             decided = decided.unionByName(last)
             break
-        bucket = F.pmod(F.xxhash64(*_KEY, F.lit(level)), F.lit(max(1, -(-most // size)))).alias("bucket")
-        step = cut(left.groupBy("source", bucket, F.lit(level).alias("level")).applyInArrow(settle, _DECIDED))
+        bucket = F.pmod(F.xxhash64(*_KEY, F.lit(level)), F.lit(max(1, -(-most // size))))
+        step = cut(left.groupBy("source", bucket.alias("bucket"), F.lit(level).alias("level")).applyInArrow(settle, _DECIDED))
         closed = step.where("NOT open")
         decided = closed if decided is None else decided.unionByName(closed)
         level, size = level + 1, fan_in

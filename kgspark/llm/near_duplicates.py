@@ -24,7 +24,7 @@ from pyspark.sql import functions as F
 
 from kgspark.batches import slices
 from kgspark.operators.components import connected_components
-from kgspark.storage import cut
+from kgspark.storage import cut, spread
 
 _WORD = re.compile(r"[^\W_]+")
 _CACHE_WORDS = 500_000
@@ -271,7 +271,7 @@ def near_duplicate_links(texts: DataFrame, spec: NearDuplicateSpec = NearDuplica
     are in neither. Rows without node are ignored; extra columns too.
     """
     rows = texts.where(F.col("node").isNotNull() & F.col("text").isNotNull()).select("node", "text_id", "text", F.xxhash64("text").alias("key_1"), F.xxhash64(F.lit(1), "text").alias("key_2"))
-    sketches = rows.mapInArrow(_sketch(spec), "node bigint, key_1 bigint, key_2 bigint, fingerprint binary, shards array<bigint>")
+    sketches = spread(rows).mapInArrow(_sketch(spec), "node bigint, key_1 bigint, key_2 bigint, fingerprint binary, shards array<bigint>")
     one = cut(sketches.groupBy(*_KEY).agg(F.min("node").alias("node"), F.first("fingerprint").alias("fingerprint"), F.first("shards").alias("shards")))
     members = rows.select(*_KEY, "text_id").distinct().join(one.select(*_KEY, "node"), list(_KEY)).select("node", "text_id")
     sharded = one.select("node", "fingerprint", F.explode("shards").alias("shard"))

@@ -21,7 +21,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from kgspark.batches import slices
-from kgspark.storage import at_most
+from kgspark.storage import at_most, spread
 
 _NL = r"(?:\r\n|[\n\r\v\f\x1c-\x1e\x85 ])"
 _BLANK = re.compile(rf"{_NL}(?:(?!{_NL})\s)*{_NL}\s*| \s*")
@@ -328,7 +328,7 @@ def corpus_abbreviations(documents: DataFrame) -> DataFrame:
 
     Only tokens are listed that mostly stand inside sentences or before numbers.
     """
-    counts = documents.where(F.length("text") > 0).select("text").mapInArrow(_count, "token string, kind int, n bigint")
+    counts = spread(documents.where(F.length("text") > 0).select("text")).mapInArrow(_count, "token string, kind int, n bigint")
     counts = counts.groupBy("token").agg(*[F.sum(F.when(F.col("kind") == k, F.col("n")).otherwise(0)).alias(c) for k, c in enumerate(("inside", "outside", "numbers"))])
     seen = F.col("inside") + F.col("outside")
     return counts.where(
@@ -375,5 +375,5 @@ def sentences(documents: DataFrame) -> DataFrame:
     Two passes over the texts, no shuffle of them.
     """
     abbreviations = learn(documents)
-    texts = documents.where(F.length("text") > 0).select("doc_id", "text")
+    texts = spread(documents.where(F.length("text") > 0).select("doc_id", "text"))
     return texts.mapInArrow(_splitter(abbreviations), "doc_id bigint, unit_start bigint, unit_end bigint")

@@ -16,6 +16,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from kgspark.batches import slices
+from kgspark.storage import spread
 
 _WORD = re.compile(r"\S+")
 _END = re.compile(r"[.!?…。！？؟।॥]+[\"'”’»›)\]}」』]*$")
@@ -164,7 +165,7 @@ def split_oversized(chunks: DataFrame, limit: int = 200, overlap: int = 20) -> D
     if not 0 <= overlap < limit:
         raise ValueError("overlap must be at least 0 and less than limit")
     # n words need at least 2n - 1 characters, so shorter contents never reach Python.
-    long_enough = chunks.where(F.length("content") > 2 * limit).select("row_id", "id", "content")
+    long_enough = spread(chunks.where(F.length("content") > 2 * limit).select("row_id", "id", "content"))
     return long_enough.mapInArrow(
         _splitter(limit, overlap),
         "row_id bigint, source_id string, chunk_order_idx int, content string, num_tokens int, cut_kind string",
