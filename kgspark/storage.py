@@ -69,6 +69,7 @@ def spread(rows: DataFrame) -> DataFrame:
     that is heavy in CPU. What is larger, or of unknown size, is left as it is, so nothing large is ever moved for this.
     """
     spark = rows.sparkSession
-    size = int(str(rows._jdf.queryExecution().optimizedPlan().stats().sizeInBytes()))
+    leaves = rows._jdf.queryExecution().optimizedPlan().collectLeaves()
+    size = sum(int(str(leaves.apply(i).stats().sizeInBytes())) for i in range(leaves.size()))  # whole files: a projection's own estimate guesses at the length of texts
     least = int(spark._jvm.org.apache.spark.network.util.JavaUtils.byteStringAsBytes(spark.conf.get("spark.sql.files.openCostInBytes")))
     return rows.repartition(tasks_for_cpu(spark)) if size < least * spark.sparkContext.defaultParallelism else rows
